@@ -222,7 +222,7 @@ def short_keys(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> low) << low
 
 
-def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: bool = False) -> DataFrame:
+def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: str = "") -> DataFrame:
     """Count-min over the keys of all blocks: for each block, which keys may occur elsewhere too.
 
     ``keys_of(texts)`` gives the 64-bit keys of a block, repeats included.  Each block
@@ -230,47 +230,119 @@ def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: bool = False) -
     sends them to the owners of the ``2**bits`` slices of the cell space; an owner
     merges the partition sketches of its slice and answers each block with one
     mark per cell.  Cells that two keys share make counts too high, never too
-    low.  Returns ``(block, marks binary)``: for the sorted distinct cells of the
-    block one byte each, the count up to 255 if ``counts`` (of blocks' own counts
-    summed), else packed bits of "in two blocks or more".
+    low.  Returns ``(block, marks)``: for the sorted distinct cells of the block
+    the count as ``counts`` ("u1" or "u2", the largest number standing for all
+    above), or packed bits of "in two blocks or more".
     A key that fills the corpus costs one entry per block.
     """
 
+    most = np.iinfo(counts).max if counts else 1
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 cells, n = np.unique(short_keys(keys_of(block_texts(b, k)), bits), return_counts=True)
                 cols = {"cells": (cells >> U64(32 - bits)).astype(np.uint32)}
                 if counts:
-                    cols["own"] = np.minimum(n, 255).astype(np.uint8)
+                    cols["own"] = np.minimum(n, most).astype(counts)
                 yield sliced(b.column(0)[k].as_py(), bits, cells, cols)
 
     def merge(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint32) for x in t.column("cells").to_pylist()]
         cells, inverse, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         if counts:
-            own = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("own").to_pylist()])
+            own = np.concatenate([np.frombuffer(x, counts) for x in t.column("own").to_pylist()])
             n = np.bincount(inverse, weights=own, minlength=len(cells))
-            marks = np.minimum(n, 255).astype(np.uint8)[inverse]
+            marks = np.minimum(n, most).astype(counts)[inverse]
         else:
             marks = (n > 1)[inverse]
         ends = np.cumsum([len(p) for p in parts])
         out = [(m if counts else np.packbits(m)).tobytes() for m in np.split(marks, ends[:-1])]
         return pa.table({"slice": t.column("slice"), "block": t.column("block"), "n": pa.array([len(p) for p in parts], pa.int32()), "marks": pa.array(out, pa.binary())})
 
-    sent = blocks.mapInArrow(send, "slice int, block long, cells binary" + ", own binary" * counts)
-    answered = sent.groupBy("slice").applyInArrow(merge, "slice int, block long, n int, marks binary")
-    return answered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "n", "marks"))).alias("marks"))
+    sent = blocks.mapInArrow(send, "slice int, block long, cells binary" + ", own binary" * bool(counts))
+    return by_block(sent.groupBy("slice").applyInArrow(merge, ANSWER))
 
 
-def read_marks(found, counts: bool = False) -> np.ndarray:
-    """The marks of a block in the order of its sorted distinct cells."""
-    if not found:
-        return np.zeros(0, np.uint8 if counts else bool)
-    return np.concatenate([np.frombuffer(x["marks"], np.uint8) if counts else np.unpackbits(np.frombuffer(x["marks"], np.uint8), count=x["n"]).astype(bool) for x in found])
+#: What the owner of a slice tells a block: marks of its n keys there.
+ANSWER = "slice int, block long, n int, marks binary"
+
+
+def by_block(answers: DataFrame) -> DataFrame:
+    """``(block, marks)``: all answers to a block, in the order of the slices; as many as a block has keys at most."""
+    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "n", "marks"))).alias("marks"))
 
 
-def block_marks(keys: np.ndarray, bits: int, marks: np.ndarray, counts: bool = False) -> np.ndarray:
-    """For each key of a block its mark, or whether it may be repeated (in the block itself or elsewhere)."""
-    cells, inverse, n = np.unique(short_keys(keys, bits), return_inverse=True, return_counts=True)
-    return (marks if counts else (marks | (n > 1)))[inverse] if len(cells) else np.zeros(0, marks.dtype)
+def exact_keys(rows: DataFrame, keys_of, bits: int, first: bool) -> DataFrame:
+    """Group the 128-bit keys of all blocks exactly; ``(block, marks)`` as from ``repeated_keys``, a bit per key.
+
+    ``keys_of(batch, k)`` gives the distinct keys of a block as sorted arrays
+    ``hi, lo``, and with ``first`` also ``doc, pos``, the first place of each.  The bit tells
+    that the key is in other blocks too, or with ``first`` that it comes earlier in
+    another block.  One entry per key and block is sent, so no key is hot.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                hi, lo, *place = keys_of(b, k)
+                if len(hi):
+                    yield sliced(b.column(0)[k].as_py(), bits, hi, {"hi": hi, "lo": lo} | dict(zip(("doc", "pos"), place, strict=False)))
+
+    def merge(t: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
+        hi, lo = read("hi", U64), read("lo", U64)
+        sizes = [len(x) // 8 for x in t.column("hi").to_pylist()]
+        if first:
+            block = np.repeat(t.column("block").to_numpy(), sizes)
+            order = np.lexsort((block, read("pos", np.int64), read("doc", np.int64), lo, hi))
+        else:
+            order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        same = (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
+        marks = np.zeros(len(hi), bool)
+        marks[1:] |= same
+        if not first:
+            marks[:-1] |= same
+        back = np.empty(len(hi), bool)
+        back[order] = marks
+        out = [np.packbits(m).tobytes() for m in np.split(back, np.cumsum(sizes)[:-1])]
+        return pa.table({"slice": t.column("slice"), "block": t.column("block"), "n": pa.array(sizes, pa.int32()), "marks": pa.array(out, pa.binary())})
+
+    sent = rows.mapInArrow(send, "slice int, block long, hi binary, lo binary" + ", doc binary, pos binary" * first)
+    return by_block(sent.groupBy("slice").applyInArrow(merge, ANSWER))
+
+
+def with_marks(blocks: DataFrame, **marks: DataFrame) -> DataFrame:
+    """``blocks`` with the answers of earlier passes as columns of the given names (null: none)."""
+    for name, df in marks.items():
+        blocks = blocks.join(df.withColumnRenamed("marks", name), "block", "left")
+    return blocks
+
+
+def read_marks(batch: pa.RecordBatch, k: int, column: str, counts: str = "") -> np.ndarray:
+    """The marks of the k-th block of a batch, in the order of its keys."""
+    found = batch.column(batch.schema.get_field_index(column))[k].as_py() or []
+    if counts:
+        return np.concatenate([np.zeros(0, counts), *(np.frombuffer(x["marks"], counts) for x in found)])
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x["marks"], np.uint8), count=x["n"]).astype(bool) for x in found)])
+
+
+def key_marks(keys: np.ndarray, bits: int, marks: np.ndarray) -> np.ndarray:
+    """For each key of a block its count, or whether it may be repeated (in the block itself or elsewhere)."""
+    _, inverse, n = np.unique(short_keys(keys, bits), return_inverse=True, return_counts=True)
+    return (marks | (n > 1) if marks.dtype == bool else marks)[inverse]
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]).astype(np.int8)))
+    return edges[0::2], edges[1::2]
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie in a range [start, end)."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
