@@ -69,6 +69,10 @@ def doc_rows(docs: DataFrame) -> DataFrame:
 # ---- blocks -----------------------------------------------------------------
 
 
+#: Documents of a block at most: block << 16 | place is a document's number.
+BLOCK_ROWS = 1 << 16
+
+
 def write_blocks(spark: SparkSession, docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
     """Documents as rows ``(block, doc_ids, texts)`` of about ``block_bytes`` of text, kept in the shared folder.
 
@@ -84,14 +88,15 @@ def write_blocks(spark: SparkSession, docs: DataFrame, block_bytes: int = 2 << 2
         part, seq, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def out() -> pa.RecordBatch:
+            assert part < 1 << 23 and seq < 1 << 24
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))],
+                [pa.array([(part << 24) | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))],
                 names=["block", "doc_ids", "texts"],
             )
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if held and held + len(t) > block_bytes:
+                if held and (held + len(t) > block_bytes or len(ids) == BLOCK_ROWS):
                     yield out()
                     seq, ids, texts, held = seq + 1, [], [], 0
                 ids.append(i)
@@ -225,7 +230,7 @@ def short_keys(keys: np.ndarray, bits: int) -> np.ndarray:
 def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: str = "") -> DataFrame:
     """Count-min over the keys of all blocks: for each block, which keys may occur elsewhere too.
 
-    ``keys_of(texts)`` gives the 64-bit keys of a block, repeats included.  Each block
+    ``keys_of(batch, k)`` gives the 64-bit keys of a block, repeats included.  Each block
     sketches its keys as the distinct cells (``bits`` + 32 bits of the key) and
     sends them to the owners of the ``2**bits`` slices of the cell space; an owner
     merges the partition sketches of its slice and answers each block with one
@@ -241,7 +246,7 @@ def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: str = "") -> Da
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                cells, n = np.unique(short_keys(keys_of(block_texts(b, k)), bits), return_counts=True)
+                cells, n = np.unique(short_keys(keys_of(b, k), bits), return_counts=True)
                 cols = {"cells": (cells >> U64(32 - bits)).astype(np.uint32)}
                 if counts:
                     cols["own"] = np.minimum(n, most).astype(counts)

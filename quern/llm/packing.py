@@ -13,8 +13,12 @@ its place by its rank among the pieces of its length; ranks come from counts by
 
 from __future__ import annotations
 
+import json
 import re
+import string
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -24,77 +28,86 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, doc_rows, materialize
 
 #: White space that str.split() and the tokenizer may not see alike: such texts are encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Characters beyond those that lower() and the tokenizer surely treat alike, and odd white space.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
 
 
 class WordEncoder(dict):
     """Ids of a word-level BPE tokenizer as little-endian bytes, word by word from a cache.
 
-    The tokenizer drops white space and merges inside words only, so a text's
-    ids are those of its words.  Plain words are encoded together and told
+    The tokenizer drops white space, ignores case and merges inside words only,
+    so a text's ids are those of its words.  New words of Latin letters are
+    encoded together, without the steps that leave them as they are, and told
     apart by the ids that end a word.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._tok, self._max = Tokenizer.from_file(path), max_words
-        size = self._tok.get_vocab_size()
-        self._ends = np.zeros(size, bool)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self._tok, self._max = Tokenizer.from_str(json.dumps(spec)), max_words
+        byte_level = spec["pre_tokenizer"]["pretokenizers"][-1]
+        lean = spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self._lean = Tokenizer.from_str(json.dumps(lean))
+        self._ends = np.zeros(self._tok.get_vocab_size(), bool)
         for piece, i in self._tok.get_vocab().items():
             self._ends[i] = piece.endswith("</w>")
+        #: words met that end in a mark, where a full stop or comma could join it
+        self._marked: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in ".," and word[:-1].isalpha() and word[:-1] in self:
-            got = self[word[:-1]] + self[word[-1]]
+        core = word.rstrip(string.punctuation)
+        if core and len(core) < len(word) and core.isalpha() and not ODD.search(core):
+            got = self[core.lower()] + self[word[len(core) :]]  # letters and marks are parted before merging
         else:
             got = self._whole(word)
         self[word] = got
         return got
 
-    def _learn(self, words: set[str]) -> None:
-        """Words of Latin letters in one call; others come one by one when met."""
-        plain: dict[str, list[str]] = {}
-        for w in words:
-            bare = w[:-1] if w[-1] in ".," else w
-            low = bare.lower()
-            if bare not in self and low.isalpha() and max(low) < "ɐ":
-                plain.setdefault(low, []).append(bare)
-        new = [w for w in plain if w not in self]
-        if new:
-            ids = np.array(self._tok.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        for a in range(0, len(plain), 1000):
+            part = plain[a : a + 1000]
+            ids = np.array(self._lean.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) == len(new):
-                raw, a = ids.tobytes(), 0
-                for w, b in zip(new, (cuts * 4).tolist(), strict=True):
-                    self[w], a = raw[a:b], b
-        for low, forms in plain.items():
-            if (got := self.get(low)) is not None:
-                for w in forms:
-                    self[w] = got
+            if len(cuts) == len(part):  # else they are encoded one by one when needed
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(part, (cuts * 4).tolist(), strict=True):
+                    self[w], at = raw[at:to], to
+        self._marked.update(w for w in words if not w[-1].isalnum() and w not in (".", ","))
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Lower-case words, with a full stop or comma at a word's end as a word."""
+        text = text.lower().replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return (text[:-1] + " " + text[-1] if text[-1:] in (".", ",") else text).split()
 
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self._whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        finally:
-            if len(self) > self._max:
-                self.clear()
+        return next(self.encode_all([text]))
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self) > self._max:
+            self.clear()
+            self._marked.clear()
+        split = [None if ODD.search(t) else self._words(t) for t in texts]
         fresh: set[str] = set()
-        for t in texts:
-            fresh.update(t.split())
-        fresh.difference_update(self)
-        self._learn(fresh)
-        for t in texts:
-            yield self.encode(t)
+        for words in split:
+            if words:
+                fresh.update(compress(words, map(is_, map(self.get, words), repeat(None))))
+        self._learn(list(fresh))
+        for text, words in zip(texts, split, strict=True):
+            if words is not None and self._marked.isdisjoint(words):
+                yield b"".join(map(self.__getitem__, words))
+            elif ODD_SPACE.search(text):
+                yield self._whole(text)
+            else:
+                yield b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int) -> DataFrame:
