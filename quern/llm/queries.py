@@ -63,6 +63,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(spark, docs, model).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
