@@ -43,6 +43,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    out = simhash.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
+    name = simhash.fingerprint_text
+    return out.select("doc_id", "n_chars", "edited_sha256", name(F.col("fp")).alias("fingerprint"), name(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def _removed(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
 
@@ -55,6 +64,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_table(spark))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup
@@ -96,3 +112,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest",
     )
+
+
+def _oracles() -> None:
+    from . import license_scan
+
+    ORACLE_SQL["op8_license_scan"] = license_scan.oracle()
+
+
+_oracles()
