@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("term_id").orderBy("doc_id")
+def in_list_order():
+    return Window.partitionBy("term_id").orderBy("doc_id")
 
 
 def walk(postings: DataFrame, n_docs: int) -> DataFrame:
@@ -13,9 +14,10 @@ def walk(postings: DataFrame, n_docs: int) -> DataFrame:
 
     After the last document comes ``n_docs``; before the first, 0.
     """
+    order = in_list_order()
     return postings.select(
-        "term_id", (F.row_number().over(ORDER) - 1).cast("long").alias("pos"), "doc_id",
-        F.coalesce(F.lead("doc_id").over(ORDER), F.lit(n_docs).cast("long")).alias("next_doc"), F.coalesce(F.lag("doc_id").over(ORDER), F.lit(0).cast("long")).alias("prev_value"),
+        "term_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "doc_id",
+        F.coalesce(F.lead("doc_id").over(order), F.lit(n_docs).cast("long")).alias("next_doc"), F.coalesce(F.lag("doc_id").over(order), F.lit(0).cast("long")).alias("prev_value"),
     )
 
 
@@ -35,5 +37,5 @@ def next_geq(postings: DataFrame, probes: DataFrame, n_docs: int) -> DataFrame:
 
 def move(postings: DataFrame, positions: DataFrame) -> DataFrame:
     """``(term_id, pos, doc_id, freq)`` at the given positions."""
-    ranked = postings.withColumn("pos", (F.row_number().over(ORDER) - 1).cast("long"))
+    ranked = postings.withColumn("pos", (F.row_number().over(in_list_order()) - 1).cast("long"))
     return ranked.join(positions, ["term_id", "pos"]).select("term_id", "pos", "doc_id", "freq")

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("positive_sequence", f"WITH {PART}, s AS (SELECT term_id, doc_id, CAST(sum(freq) OVER w AS BIGINT) AS upto FROM p {W}) SELECT term_id, doc_id, upto, upto - coalesce(lag(upto) OVER w, 0) AS value FROM s {W}")
 def _(spark, sf):
-    order = cursors.ORDER
+    order = cursors.in_list_order()
     sums = src.lineitem_postings(spark, sf).withColumn("upto", F.sum("freq").over(order.rowsBetween(-(1 << 63), 0)))
     return sums.select("term_id", "doc_id", "upto", (F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0))).alias("value"))
 
@@ -412,7 +412,10 @@ def _mined(source: str, key: str = "") -> str:
 
 
 ENTRY = "array_to_string(entry, ',')"
-JOINED = F.array_join(F.transform("entry", lambda x: x.cast("string")), ",")
+
+
+def joined():
+    return F.array_join(F.transform("entry", lambda x: x.cast("string")), ",")
 
 
 def _gap_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,7 +425,7 @@ def _gap_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pattern_counts", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')} SELECT {ENTRY} AS entry, freq FROM pt")
 def _(spark, sf):
-    return mining.count_patterns(_gap_lists(spark, sf)).select(JOINED.alias("entry"), "freq")
+    return mining.count_patterns(_gap_lists(spark, sf)).select(joined().alias("entry"), "freq")
 
 
 SAVED = "sv AS (SELECT entry, freq, freq * (48 * len(entry) - 16) / CAST((SELECT count(*) FROM p) AS DOUBLE) AS saving FROM pt)"
@@ -437,7 +440,7 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dictionary", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')}, {SAVED}, {KEPT}, {CODES} SELECT {ENTRY} AS entry, freq, code FROM cd")
 def _(spark, sf):
-    return _dictionary(spark, sf).select(JOINED.alias("entry"), "freq", "code")
+    return _dictionary(spark, sf).select(joined().alias("entry"), "freq", "code")
 
 
 @query("dictionary_usage", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')}, {SAVED}, {KEPT}, {CODES} SELECT CAST(len(entry) AS BIGINT) AS size, count(*) AS entries, round(100.0 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS percent FROM cd GROUP BY 1")
@@ -450,14 +453,14 @@ PREFIXES = " UNION ".join(f"SELECT entry[1:{s}] AS entry FROM cd WHERE len(entry
 
 @query("dictionary_packed", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')}, {SAVED}, {KEPT}, {CODES}, pf AS ({PREFIXES}) SELECT {ENTRY} AS entry, code FROM cd WHERE entry NOT IN (SELECT entry FROM pf)")
 def _(spark, sf):
-    return mining.drop_prefixes(_dictionary(spark, sf)).select(JOINED.alias("entry"), "code")
+    return mining.drop_prefixes(_dictionary(spark, sf)).select(joined().alias("entry"), "code")
 
 
 @query("pattern_contexts", f"""WITH {SUPP}, {GAPS}, fb AS (SELECT term_id, pos // 256 AS block_no, list(gap ORDER BY pos) AS v, max(gap) AS most FROM g GROUP BY 1, 2 HAVING count(*) = 256),
 cx AS (SELECT v, CAST(CASE WHEN most <= 1 THEN 0 WHEN length(bin(most)) <= 1 THEN 0 ELSE length(bin(length(bin(most)) - 1)) END AS BIGINT) AS context FROM fb), {_mined("cx", "context, ")} SELECT context, {ENTRY} AS entry, freq FROM pt""")
 def _(spark, sf):
     laid = layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"))
-    return mining.count_in_contexts(laid).select("context", JOINED.alias("entry"), "freq")
+    return mining.count_in_contexts(laid).select("context", joined().alias("entry"), "freq")
 
 
 # ---- sources ----------------------------------------------------------------
@@ -483,3 +486,51 @@ def _(spark, sf):
 def _(spark, sf):
     laid = layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"))
     return laid.select("term_id", "block_no", F.array_join(F.transform("gaps", lambda x: x.cast("string")), " ").alias("gaps"))
+
+
+# ---- choices and models -----------------------------------------------------
+
+
+@query("mixed_choice")
+def _(spark, sf):
+    from quern.operators import choose
+
+    laid = layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"), 128)
+    return choose.smallest(choose.candidates(laid))
+
+
+@query("code_space_time")
+def _(spark, sf):
+    from quern.operators import choose
+
+    laid = layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"))
+    points = choose.candidates(laid, ("u32", "vbyte", "optpfor", "interpolative"))
+    cost = F.create_map(*(x for k, v in (("u32", 1.0), ("vbyte", 2.0), ("optpfor", 3.0), ("interpolative", 9.0)) for x in (F.lit(k), F.lit(v))))
+    points = points.withColumn("time", cost[F.col("codec")]).persist()
+    budget = int(points.where("codec = 'vbyte'").agg(F.sum("size")).first()[0] or 0)
+    return choose.within_budget(points, budget)
+
+
+@query("size_model")
+def _(spark, sf):
+    from quern.operators import choose
+
+    p = layout.gaps(src.lineitem_postings(spark, sf, "l_suppkey"))
+    rows = stats.values_statistics(p).join(space.block_sizes(p).select("term_id", "block_no", "gamma_bits"), ["term_id", "block_no"])
+    weights = choose.least_absolute(rows, ["n", "sum_of_logs", "entropy"], "gamma_bits")
+    return spark.createDataFrame(sorted(weights.items()), "feature string, weight double")
+
+
+@query("sequence_collection", f"WITH {SUPP}, {GAPS} SELECT term_id AS seq_id, count(*) AS n, max(doc_id) + 1 AS universe, array_to_string(list(doc_id ORDER BY pos), ' ') AS values FROM g GROUP BY 1")
+def _(spark, sf):
+    from quern.operators import tables
+
+    g = layout.gaps(src.lineitem_postings(spark, sf, "l_suppkey"))
+    packed = tables.pack_sequences(g.select(F.col("term_id").alias("seq_id"), "pos", F.col("doc_id").alias("value")))
+    return packed.withColumn("values", F.array_join(F.transform("values", lambda x: x.cast("string")), " "))
+
+
+@query("flagship_explained_terms", f"WITH {PART}, {Q_ORDER} SELECT q.query_id, count(*) AS asked, count(DISTINCT q.term_id) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM q JOIN (SELECT term_id, count(*) AS df FROM p GROUP BY 1) t USING (term_id) GROUP BY 1")
+def _(spark, sf):
+    df = src.lineitem_postings(spark, sf).groupBy("term_id").agg(F.count("*").alias("df"))
+    return src.order_queries(spark, sf).join(df, "term_id").groupBy("query_id").agg(F.count("*").alias("asked"), F.countDistinct("term_id").alias("terms"), F.sum("df").alias("postings"))
