@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,25 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str, **options: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, tag: str, free: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation, and what was
-    computed once (block numbers, say) stays as it is.  The shuffle files of
-    the finished job are then released.
+    computed once (block numbers, say) stays as it is.  ``free`` releases the
+    finished job's shuffle files at once, worth the pause where they are large.
     """
     path = f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    if free:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files that no live plan refers to; what one collection frees, the next may follow up."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def arrow_batches(spark: SparkSession, mb: int = 8) -> None:
