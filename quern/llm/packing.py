@@ -14,14 +14,14 @@ its place by its rank among the pieces of its length; ranks come from counts by
 from __future__ import annotations
 
 import json
+import os
 import re
 import string
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +33,20 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
 
 
-class WordEncoder(dict):
-    """Ids of a word-level BPE tokenizer as little-endian bytes, word by word from a cache.
+class WordEncoder:
+    """Ids of a word-level BPE tokenizer as little-endian bytes.
 
     The tokenizer drops white space, ignores case and merges inside words only,
-    so a text's ids are those of its words.  New words of Latin letters are
-    encoded together, without the steps that leave them as they are, and told
-    apart by the ids that end a word.
+    so a text's ids are those of its words.  Arrow parts and numbers the words of a
+    batch and finds those known from before; only new ones are encoded.  New words of
+    Latin letters are encoded together, without the steps that leave them as
+    they are, and told apart by the ids that end a word.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._tok, self._max = Tokenizer.from_str(json.dumps(spec)), max_words
@@ -55,59 +56,79 @@ class WordEncoder(dict):
         self._ends = np.zeros(self._tok.get_vocab_size(), bool)
         for piece, i in self._tok.get_vocab().items():
             self._ends[i] = piece.endswith("</w>")
-        #: words met that end in a mark, where a full stop or comma could join it
-        self._marked: set[str] = set()
+        self._cores: dict[str, bytes] = {}
+        self._keep(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        """The known words, all their ids, and how many each has."""
+        self._words, self._ids, self._size, self._first = words, ids, size, np.cumsum(size) - size
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(string.punctuation)
-        if core and len(core) < len(word) and core.isalpha() and not ODD.search(core):
-            got = self[core.lower()] + self[word[len(core) :]]  # letters and marks are parted before merging
-        else:
-            got = self._whole(word)
-        self[word] = got
+    def _core(self, word: str) -> bytes:
+        got = self._cores.get(word)
+        if got is None:
+            got = self._cores[word] = self._whole(word)
         return got
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        for a in range(0, len(plain), 1000):
-            part = plain[a : a + 1000]
-            ids = np.array(self._lean.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+    def _compose(self, word: str) -> bytes:
+        core = word.rstrip(string.punctuation)
+        if not core or not core.isalpha() or ODD.search(core):
+            return self._whole(word) if core else self._core(word)
+        # Case is ignored, and letters and marks are parted before merging.
+        got = self._core(core.lower())
+        return got if len(core) == len(word) else got + self._core(word[len(core) :])
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        cores = self._cores
+        if len(cores) > self._max // 4:
+            cores.clear()
+        plain = [w for w in {w.rstrip(string.punctuation) for w in words} if w.isalpha() and w not in cores]
+        parts = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
+        for part, got in zip(parts, self._lean.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(self._ends[ids]) + 1
             if len(cuts) == len(part):  # else they are encoded one by one when needed
                 raw, at = ids.tobytes(), 0
                 for w, to in zip(part, (cuts * 4).tolist(), strict=True):
-                    self[w], at = raw[at:to], to
-        self._marked.update(w for w in words if not w[-1].isalnum() and w not in (".", ","))
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """Lower-case words, with a full stop or comma at a word's end as a word."""
-        text = text.lower().replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
-        return (text[:-1] + " " + text[-1] if text[-1:] in (".", ",") else text).split()
+                    cores[w], at = raw[at:to], to
+        return [got if (got := cores.get(w)) is not None else self._compose(w) if w else b"" for w in words]
 
     def encode(self, text: str) -> bytes:
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self) > self._max:
-            self.clear()
-            self._marked.clear()
-        split = [None if ODD.search(t) else self._words(t) for t in texts]
-        fresh: set[str] = set()
-        for words in split:
-            if words:
-                fresh.update(compress(words, map(is_, map(self.get, words), repeat(None))))
-        self._learn(list(fresh))
-        for text, words in zip(texts, split, strict=True):
-            if words is not None and self._marked.isdisjoint(words):
-                yield b"".join(map(self.__getitem__, words))
-            elif ODD_SPACE.search(text):
-                yield self._whole(text)
-            else:
-                yield b"".join(map(self.__getitem__, text.split()))
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        plain = texts.to_pylist()
+        odd = [i for i, t in enumerate(plain) if ODD.search(t)]
+        if odd:
+            mask = np.zeros(len(plain), bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        named = split.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(named.dictionary, value_set=self._words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            words = named.dictionary.take(pa.array(fresh))
+            ids = self._learn(words.to_pylist())
+            at[fresh] = len(self._words) + np.arange(len(fresh))
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self._keep(pa.concat_arrays([self._words, words]), np.concatenate([self._ids, np.frombuffer(b"".join(ids), "<u4")]), np.concatenate([self._size, size]))
+        word = at[named.indices.to_numpy()]
+        each = self._size[word]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        tokens = self._ids[np.arange(ends[-1]) + np.repeat(self._first[word] - ends[:-1], each)]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        out = [tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in odd:
+            out[i] = self._whole(plain[i]) if ODD_SPACE.search(plain[i]) else b"".join(map(self._compose, plain[i].split()))
+        if len(self._words) > self._max:  # those of this batch stay
+            size = self._size[at]
+            ends = np.cumsum(size)
+            self._keep(named.dictionary, self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._first[at] - (ends - size), size)], size)
+        return out
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int) -> DataFrame:
@@ -125,8 +146,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int |
         part, seen, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), WordEncoder(tokenizer)
         for b in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, raw in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
-                raw += end
+            for doc, raw in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1)), strict=True):
+                raw += end  # noqa: PLW2901
                 n = len(raw) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
