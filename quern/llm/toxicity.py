@@ -94,7 +94,7 @@ class Model:
 
     def scores(self, text: str) -> np.ndarray:
         words, known = WORD.findall(text.lower()), self._known
-        if len(known) > 500_000:
+        if len(known) > 100_000:  # workers keep the model, and so these words
             known.clear()
         found = list(map(known.get, words))
         if None in found:
@@ -163,7 +163,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled:
                 for w in set(WORD.findall(text.lower())):
                     got = known.get(w)
                     if got is None:
-                        if len(known) > 300_000:
+                        if len(known) > 100_000:
                             known.clear()
                         got = known[w] = units(w)
                     own.update(got)
