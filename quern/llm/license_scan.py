@@ -2,12 +2,17 @@
 
 A text is brought to a canonical form: lower case, lines with a copyright
 notice dropped, equivalent spellings made one, punctuation and white space as
-single spaces.  The SHA-256 of that form is joined with the digests of known
-license texts.  DataFrame operations only; the known texts are a table of any size.
+single spaces.  Its SHA-256 is the digest of a document.  Licenses are looked up
+by the digest of a stricter form (``license_form``): only lines with a real
+notice are dropped, and so are titles and the holders named inside BSD texts.
+DataFrame operations only; the known texts are a table of any size.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,44 +63,97 @@ KNOWN = {
     "MIT-notice": "Licensed under the MIT License.",
 }
 
+#: Full texts, a file ``<license_id>.txt`` each; read by the driver.
+TEXTS = Path(__file__).with_name("licenses")
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that starts (after comment marks) with a copyright notice.
 NOTICE = "(^|\\n)[ \\t#*/;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
 
+#: A line that starts (after comment marks) with a notice: a year, a (c) sign or a holder follows "copyright".
+NOTICE_LINE = (
+    "(?m)^[ \\t#*/;-]*(?:"
+    "(?i:(?:copyright|\\(c\\))[^\\n]{0,40}?(?:19|20)[0-9][0-9][^\\n]*)"
+    "|(?i:copyright[ \\t:]*(?:\\(c\\)|©|[\\[<{])[^\\n]*)"
+    "|(?i:\\(c\\)[ \\t]*copyright\\b[^\\n]*)"
+    "|©[^\\n]*"
+    "|Copyright[ \\t]+(?:by[ \\t]+)?(?!(?:Holder|Owner|License|Licence|Notice|Act|Law|Treaty|Disclaimer|Statement|Right)(?:s|ies)?\\b)[A-Z][^\\n]*"
+    "|(?i:all rights reserved)[.]?[ \\t\\r]*$"
+    ")"
+)
+#: Title at the head of a license, no part of its known text; in the form with single spaces.
+TITLE = "^ (?:the )?(?:mit license(?: mit)?|expat license|isc license(?: isc)?|zlib license|zero clause bsd license|bsd zero clause license|0bsd|(?:new |modified |simplified |revised )?bsd (?:[23] clause )?license|[23] clause bsd license) "
+#: Parts that a publisher fills in or that changed by address only, and what stands for them.
+REPLACED = (
+    (" neither the name of (?:[^ ]+ ){1,20}?nor the names of (?:its|any|other) contributors ", " neither the name of the copyright holder nor the names of its contributors "),
+    (" software is provided by (?:[^ ]+ ){1,20}?as is and any express ", " software is provided by the copyright holders and contributors as is and any express "),
+    (" in no event shall (?:[^ ]+ ){1,20}?be liable for any direct indirect ", " in no event shall the copyright holder or contributors be liable for any direct indirect "),
+    (" (?:51 franklin st(?:reet)? fifth floor boston ma 02110 1301|59 temple place suite 330 boston ma 02111 1307|675 mass ave cambridge ma 02139) usa ", " "),
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null is an empty text."""
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    out = F.regexp_replace(out, NOTICE, "\n")
+    return F.trim(_plain(F.regexp_replace(out, NOTICE, "\n")))
+
+
+def license_form(text: Column) -> Column:
+    """The form by which licenses are looked up; null is an empty text."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), NOTICE_LINE, "\n")
+    out = _plain(F.translate(out, UPPER, LOWER))
+    for a, b in ((TITLE, " "), *REPLACED):
+        out = F.regexp_replace(out, a, b)
+    return F.trim(out)
+
+
+def _plain(out: Column) -> Column:
+    """Lower-case text with single spaces for all but letters and digits, at both ends too, and with one of equivalent spellings."""
     out = F.concat(F.lit(" "), F.regexp_replace(out, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F©‘’“”–—]+", " "), F.lit(" "))
     for a, b in EQUIVALENT:
         if a != b:
             out = F.regexp_replace(out, f" {a}(s?) ", f" {b}$1 ")
-    return F.trim(out)
+    return out
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """``KNOWN`` and the texts of ``TEXTS``, with the forms in which they also stand alone: no numbers before
+    a BSD text's conditions, ISC's older wording, nothing after "END OF TERMS AND CONDITIONS"."""
+    out = list(KNOWN.items())
+    out += [(k, KNOWN[k].replace("and/or distribute", "and distribute")) for k in ("0BSD", "ISC")]
+    for p in sorted(TEXTS.glob("*.txt")):
+        text = p.read_text(encoding="utf-8")
+        out.append((p.stem, text))
+        if p.stem.startswith("BSD-"):
+            out.append((p.stem, re.sub(r"(?m)^ *[0-9]\. ", "", text)))
+        body, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(p.stem, body), (p.stem, body + end)]
+    return out
 
 
 def known_table(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """``(license_id, text)``"""
-    return spark.createDataFrame(list((KNOWN if known is None else known).items()), "license_id string, text string")
+    """``(license_id, text)``; by default of all known texts."""
+    return spark.createDataFrame(full_texts() if known is None else list(known.items()), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, digest, license_id)`` of every document.
 
-    ``license_id`` is the known license whose whole text has the same canonical form, null
+    ``license_id`` is the known license whose whole text has the same ``license_form``, null
     if none has; of several the least id.  Null, empty and wordless texts share the
     digest of the empty form, which matches nothing.  Rows repeat as in the
     table; an empty table gives no rows, an empty list of licenses no matches.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(canonical(text), 256).alias("digest"))
-    form = known.select("license_id", canonical(F.col("text")).alias("form")).where("form <> ''")
-    digests = form.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return rows.join(digests, "digest", "left").select("doc_id", "n_bytes", "digest", "license_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(canonical(text), 256).alias("digest"), F.sha2(license_form(text), 256).alias("form_digest"))
+    form = known.select("license_id", license_form(F.col("text")).alias("form")).where("form <> ''")
+    digests = form.groupBy(F.sha2("form", 256).alias("form_digest")).agg(F.min("license_id").alias("license_id"))
+    return rows.join(digests, "form_digest", "left").select("doc_id", "n_bytes", "digest", "license_id")
 
 
 def oracle() -> str:
-    """The same rows in DuckDB's SQL, for the default licenses."""
+    """The rows in DuckDB's SQL for ``KNOWN``, looked up by the canonical form."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def form(x: str) -> str:

@@ -80,6 +80,34 @@ def test_license_scan(spark, make, edges):
     assert license_scan.scan(make(texts), license_scan.known_table(spark, {"x": "..."})).where("license_id is not null").count() == 0
 
 
+def test_full_license_texts(spark, make):
+    import textwrap
+
+    text = dict(license_scan.full_texts())
+    file = lambda name: (license_scan.TEXTS / f"{name}.txt").read_text()
+    isc = textwrap.fill(license_scan.KNOWN["ISC"], 76).replace("above copyright notice", "above\ncopyright notice")
+    holder = "Copyright (c) 2020, The Somebody Project\nAll rights reserved.\n\n"
+    bsd3 = file("BSD-3-Clause")
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(license_scan.KNOWN["MIT"], 78)),
+        ("MIT", "The MIT License (MIT)\n\nCopyright 2019-2020 Somebody\n\n" + license_scan.KNOWN["MIT"]),
+        ("ISC", "ISC License\n\nCopyright Somebody\n\n" + isc),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + holder + bsd3),
+        ("BSD-3-Clause", holder + textwrap.fill(bsd3.replace("the copyright holder nor", "Somebody, Inc. nor").replace("THE COPYRIGHT HOLDERS AND", "SOMEBODY AND"), 60)),
+        ("BSD-3-Clause", holder + bsd3.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("BSD-2-Clause", holder + file("BSD-2-Clause")),
+        ("GPL-2.0", file("GPL-2.0").replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")),
+        ("Apache-2.0", file("Apache-2.0").split("   END OF TERMS")[0]),
+        (None, file("Apache-2.0").replace("(c) You must retain", "(c) You need not retain")),
+        (None, license_scan.KNOWN["MIT"] + "\ncopyright terms of another kind hold"),
+        (None, "MIT License"),
+    ]
+    cases += [(name, file(name)) for name in text if (license_scan.TEXTS / f"{name}.txt").exists()]
+    assert {"Apache-2.0", "MPL-2.0", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"} <= set(text)
+    rows = license_scan.scan(make([t for _, t in cases]), license_scan.known_table(spark)).orderBy("doc_id").collect()
+    assert [r.license_id for r in rows] == [k for k, _ in cases]
+
+
 def test_license_oracle(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
