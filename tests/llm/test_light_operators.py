@@ -139,6 +139,26 @@ def test_prefix_table(edges):
             assert table[n] <= budget
 
 
+def test_truncation_points(spark, make, edges):
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert token_counts.PrefixCounter(PIECES).recurs
+    r = random.Random(5)
+    odd = ["中文字" * 40, "   " + "日本語テキスト" * 9 + "  b ", "a    b" * 30, "\n\n  if x:\n        return 執벨🙂ﬁ", "".join(r.choice("abeinrst ▁ \n.é中🙂") for _ in range(400))]
+    texts = [t for t in edges if len(t or "") < 2100] + odd
+    limit = 25
+    for row, text in zip(token_counts.count_tokens(spark, make(texts), PIECES, limit).orderBy("doc_id").collect(), texts, strict=True):
+        text = text or ""
+        sizes = [len(sp.encode(text[:i])) for i in range(len(text) + 1)]
+        assert (row.n_tokens, row.over_limit) == (sizes[-1], sizes[-1] > limit)
+        assert row.chars_in_limit == max(i for i, n in enumerate(sizes) if n <= limit)
+        ends = [m.end() for m in re.finditer("[^ ]+", text.replace("▁", " "))]
+        assert row.words_in_limit == sum(sizes[e] <= limit for e in ends)
+
+
 def brute_items(text, items, width=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s or "")
