@@ -31,10 +31,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 ids."""
-    pieces = packing.tokenize(spark, docs, vocabulary("word_bpe_49k.json"), 2, 4096)
-    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "rank")
-    return packing.place(spark, digests, 4096)
+    """Pieces of documents with their ids, placed in sequences of 4096 ids."""
+    packed = packing.pack(spark, docs, vocabulary("word_bpe_49k.json"), 2, 4096)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [

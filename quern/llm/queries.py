@@ -30,9 +30,8 @@ def vocabulary(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    pieces = packing.tokenize(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2, 4096)
-    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "rank")
-    return packing.place(spark, digests, 4096)
+    packed = packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2, 4096)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query

@@ -52,6 +52,18 @@ def test_stages(spark, tmp_path):
         docs = out
 
 
+def test_packing_keeps_ids(spark, edges, make):
+    import zlib
+
+    from quern.llm import packing
+
+    rows = p.pack(spark, make(edges), "").collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
+    check_packing(rows, list(enumerate(edges)), 4096)
+    joined = packing.sequences(p.pack(spark, make(edges), "")).collect()
+    assert sum(s.n_tokens for s in joined) == sum(r.length for r in rows)
+
+
 def test_whole_characters():
     text = "aéb–c".encode()
     assert suffix_dedup.whole_characters(text, [(2, 3)]) == "ab–c"
