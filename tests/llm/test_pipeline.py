@@ -82,3 +82,20 @@ def test_rows_that_share_an_id(spark, make):
     assert out.columns == make([]).columns
     assert sorted((r.doc_id or 0, r.text) for r in out.collect() if r.text is not None) == [(0, ""), (1, ""), (1, ""), (1, "")]
     assert out.count() == 5
+
+
+def test_one_row_of_each_component(spark, make):
+    from quern.llm import ngram_join
+
+    words = [f"w{i}" for i in range(100)]
+    base, near = " ".join(words), " ".join([*words[:-1], "other"])
+    other = "quite another text with words of its own"
+    texts = [base, near, base, "", near, other, other + ".", other, "  ", "", None]
+    ids = [1, None, None, None, 3, 5, 5, 5, 3, None, None]
+    kept = ngram_join.keep_first(spark, make(texts, ids)).collect()
+    assert sum(bool((r.text or "").strip()) for r in kept) == 3
+    assert [r.doc_id for r in kept if r.text == base] == [1] and not any(r.text == near for r in kept)
+    assert sorted(r.doc_id for r in kept if (r.text or "").startswith("quite")) == [5, 5]  # the full stop makes too few n-grams common
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if not (r.text or "").strip()) == [(0, ""), (3, "  ")]
+    same = ngram_join.keep_first(spark, make([base, near, base], [7, 7, 7])).collect()
+    assert len(same) == 1 and same[0].doc_id == 7
