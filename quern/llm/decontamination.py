@@ -118,14 +118,14 @@ class Automaton:
         """Spans of words inside windows, the items, and the longest run met. Spans are apart and in order."""
         n = len(words)
         ids = np.fromiter(map(self.ids.get, words, (0 for _ in range(n))), np.int32, n) if n else np.zeros(0, np.int32)
-        # A window is a run of known words: shorter runs can't hold one.
+        # A window is a run of known words: shorter runs can't hold one, but may hold the longest run met.
         known = np.concatenate([[0], ids > 0, [0]]).astype(np.int8)
         edges = np.flatnonzero(np.diff(known))
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         longest = 0
         for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= self._least:
+            if b - a >= self._least or b - a > longest:
                 longest = max(longest, self._run(ids[a:b].tolist(), a, spans, items))
         return spans, items, longest
 

@@ -203,3 +203,14 @@ def test_decontamination_edges(spark, make, edges, per_automaton):
     for i, t in kept.items():
         n, hit, _ = brute_items(t, items) if t is None else brute_items(edges[i], items)
         assert brute_items(t, [])[0] == n - len(hit) if hit else t == edges[i]
+
+
+@pytest.mark.parametrize("per_automaton", [10_000, 8])
+def test_longest_run_below_a_window(spark, make, per_automaton):
+    items = [" ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(12))]
+    part = lambda a, b: " ".join(items[0].split()[a:b])
+    texts = ["new " + part(3, 12) + " words", part(3, 12) + " v7", part(0, 2) + " x " + part(5, 9) + " x v1 v2 v3", part(2, 14), "v3 w5 v2", "none", None]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.find(spark, make(texts), table, 10, per_automaton).orderBy("doc_id").collect()
+    assert [r.longest for r in rows] == [9, 9, 4, 12, 1, 0, 0]
+    assert [bool(r.spans) for r in rows] == [False, False, False, True, False, False, False]
