@@ -8,6 +8,7 @@ columns, whatever their names, pass by.
 from __future__ import annotations
 
 import gc
+import secrets
 import tempfile
 import time
 import uuid
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from quern.functions.ship import ship
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes (any odd numbers do).
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd numbers with well-mixed bits.
+GOLD, SILVER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +67,11 @@ def arrow_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def lean(f):
+    """``f``, a function of a task's batches or of a group's table."""
+    return f
+
+
 def doc_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -109,7 +115,7 @@ def write_blocks(spark: SparkSession, docs: DataFrame, block_bytes: int = 2 << 2
         if ids:
             yield out()
 
-    rows = doc_rows(docs).mapInArrow(pack, "block long, doc_ids array<long>, texts array<string>")
+    rows = doc_rows(docs).mapInArrow(lean(pack), "block long, doc_ids array<long>, texts array<string>")
     return materialize(spark, rows, "blocks", **{"parquet.block.size": str(16 << 20)})
 
 
@@ -119,54 +125,47 @@ def block_texts(row_batch: pa.RecordBatch, k: int, column: str = "texts") -> lis
     return [] if values is None else values.cast(pa.binary()).to_pylist()
 
 
-def slices_for(spark: SparkSession, blocks: DataFrame, bytes_per_slice: int = 16 << 20) -> int:
+def slices_for(spark: SparkSession, blocks: DataFrame, bytes_per_slice: int = 8 << 20) -> int:
     """Bits of the slice number: slices of the key space are as many as the corpus needs, 8 at least."""
     total = blocks.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t)))).first()[0] or 0
-    return min(16, max(3, int(np.ceil(np.log2(max(1, total / bytes_per_slice))))))
+    return min(24, max(3, int(np.ceil(np.log2(max(1, total / bytes_per_slice))))))
 
 
 # ---- hashing ----------------------------------------------------------------
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n."""
-    got = _POWERS.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        np.cumprod(up, out=up)
-        np.cumprod(down, out=down)
-        if size <= 8 << 20:
-            _POWERS[base] = (up, down)
-        got = (up, down)
-    return got[0][:n], got[1][:n]
+def fresh_key() -> int:
+    """The secret of one run's hashes, drawn by the driver: nobody can write texts that collide under it."""
+    return secrets.randbits(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
+    x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(31)
     return x
 
 
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Sums of values[i] * base**i before each position; n + 1 of them."""
-    up, _ = powers(base, len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+def _secret(key: int, k: int) -> np.uint64:
+    return mix(np.array([(key + k * 0xD1B54A32D192ED03) & ((1 << 64) - 1)], U64))[0]
 
 
-def range_hash(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the runs [start, end): equal runs have equal hashes wherever they stand."""
-    _, down = powers(base, len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` values: a run is told by its two parts, mixed at every step."""
+    out, have, step = None, 0, 1
+    while True:
+        if width & step:
+            out = h if out is None else mix(out[: len(h) - have] * GOLD + h[have:])
+            have += step
+        if 2 * step > width or len(h) <= step:
+            break
+        h = mix(h[:-step] * SILVER + h[step:])
+        step *= 2
+    n = max(0, len(h) + step - width) if have == width else 0
+    return out[:n] if n else np.zeros(0, U64)
 
 
 #: Space and the control characters 9 to 13 part words; bytes.split() parts at just these.
@@ -175,15 +174,15 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
 class Words:
-    """The words of the texts of a block: hashes, and the text each stands in."""
+    """The words of the texts of a block: hashes under a secret key, and the text each stands in."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, key: int = 0):
         joined = b" ".join(texts) + b" "
-        buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)
-        space = SPACES[buf]
+        buf = np.frombuffer((joined.lower() if lower else joined) + bytes(8), np.uint8)
+        space = SPACES[buf[:-8]]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.n_texts = len(texts)
+        self.n_texts, self.key = len(texts), key
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         #: first word of each text, and one past the last word
         self.first = np.searchsorted(self.start, np.concatenate([[0], np.cumsum(lengths)]))
@@ -192,7 +191,18 @@ class Words:
         self._buf = buf
 
     def hashes(self, k: int = 0) -> np.ndarray:
-        return range_hash(prefix_sums(self._buf.astype(U64) + U64(1), BASES[k]), BASES[k], self.start, self.end)
+        """The k-th hash of each word: its parts of eight bytes are mixed with their place, summed, and mixed with the length."""
+        secret, size = _secret(self.key, k), self.end - self.start
+        parts = (size + 7) >> 3
+        first = np.cumsum(parts) - parts
+        place = np.arange(parts.sum()) - np.repeat(first, parts)
+        at = np.repeat(self.start, parts) + 8 * place
+        eights = np.lib.stride_tricks.as_strided(self._buf, (len(self._buf) - 7, 8), (1, 1))[at].view("<u8").ravel()
+        cut = U64(8) * np.maximum(0, 8 - (np.repeat(size, parts) - 8 * place)).astype(U64)
+        part = mix((eights << cut >> cut) ^ mix(place.astype(U64) * GOLD + secret))
+        if len(part) > len(size):
+            part = np.add.reduceat(part, first)
+        return mix(part + size.astype(U64) * SILVER + secret)
 
     def windows(self, width: int, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``width`` words inside one text, and the first word of each."""
@@ -200,27 +210,28 @@ class Words:
         if n <= 0:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.text[:n] == self.text[width - 1 :])
-        h = range_hash(prefix_sums(self.hashes(k), BASES[1 - k]), BASES[1 - k], at, at + width)
-        return h, at
+        return rolled(self.hashes(k), width)[at], at
 
 
 # ---- key counting by slices -------------------------------------------------
 
 
-def cut(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the 2**bits slices of a sorted array of 64-bit keys."""
-    edges = (np.arange(1, 1 << bits, dtype=U64)) << U64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the 2**bits slices a sorted array of 64-bit keys falls into, and the bounds of its part in each."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    top = keys >> U64(64 - bits)
+    first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+    return top[first].astype(np.int64), np.append(first, len(keys))
 
 
 def sliced(block: int, bits: int, keys: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row per slice that has keys: the slice, the block, and the part of each column that falls there as bytes."""
-    bounds = cut(keys, bits)
-    used = np.flatnonzero(np.diff(bounds))
+    used, bounds = cut(keys, bits)
     arrays = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64))]
     for values in columns.values():
         values = np.ascontiguousarray(values)
-        offsets = np.append(bounds[used], len(keys)).astype(np.int64) * values.itemsize
+        offsets = bounds * values.itemsize
         arrays.append(pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)]))
     return pa.RecordBatch.from_arrays(arrays, names=["slice", "block", *columns])
 
@@ -269,8 +280,8 @@ def repeated_keys(blocks: DataFrame, keys_of, bits: int, counts: str = "") -> Da
         out = [(m if counts else np.packbits(m)).tobytes() for m in np.split(marks, ends[:-1])]
         return pa.table({"slice": t.column("slice"), "block": t.column("block"), "n": pa.array([len(p) for p in parts], pa.int32()), "marks": pa.array(out, pa.binary())})
 
-    sent = blocks.mapInArrow(send, "slice int, block long, cells binary" + ", own binary" * bool(counts))
-    return by_block(sent.groupBy("slice").applyInArrow(merge, ANSWER))
+    sent = blocks.mapInArrow(lean(send), "slice int, block long, cells binary" + ", own binary" * bool(counts))
+    return by_block(sent.groupBy("slice").applyInArrow(lean(merge), ANSWER))
 
 
 #: What the owner of a slice tells a block: marks of its n keys there.
@@ -318,8 +329,8 @@ def exact_keys(rows: DataFrame, keys_of, bits: int, first: bool) -> DataFrame:
         out = [np.packbits(m).tobytes() for m in np.split(back, np.cumsum(sizes)[:-1])]
         return pa.table({"slice": t.column("slice"), "block": t.column("block"), "n": pa.array(sizes, pa.int32()), "marks": pa.array(out, pa.binary())})
 
-    sent = rows.mapInArrow(send, "slice int, block long, hi binary, lo binary" + ", doc binary, pos binary" * first)
-    return by_block(sent.groupBy("slice").applyInArrow(merge, ANSWER))
+    sent = rows.mapInArrow(lean(send), "slice int, block long, hi binary, lo binary" + ", doc binary, pos binary" * first)
+    return by_block(sent.groupBy("slice").applyInArrow(lean(merge), ANSWER))
 
 
 def with_marks(blocks: DataFrame, **marks: DataFrame) -> DataFrame:
