@@ -7,12 +7,16 @@ columns, whatever their names, pass by.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import inspect
 import secrets
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +71,37 @@ def arrow_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+@cache
+def _c_library():
+    return ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: workers outlive tasks, and idle ones would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        _c_library().malloc_trim(0)
+
+
 def lean(f):
-    """``f``, a function of a task's batches or of a group's table."""
-    return f
+    """``f``, a function of a task's batches or of a group's table, that trims the worker's memory when it is done."""
+    if not inspect.isgeneratorfunction(f):
+
+        def group(table: pa.Table) -> pa.Table:
+            out = f(table)
+            if table.nbytes > 1 << 20:
+                trim()
+            return out
+
+        return group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def doc_rows(docs: DataFrame) -> DataFrame:
