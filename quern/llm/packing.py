@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, doc_rows, materialize
+from .common import arrow_batches, doc_rows, lean, materialize
 
 #: White space that str.split() and the tokenizer may not see alike: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -40,7 +40,8 @@ class WordEncoder:
     so a text's ids are those of its words.  Arrow parts and numbers the words of a
     batch and finds those known from before; only new ones are encoded.  New words of
     Latin letters are encoded together, without the steps that leave them as
-    they are, and told apart by the ids that end a word.
+    they are, and told apart by the ids that end a word.  The tokenizer looks for its added
+    tokens in the raw text, case and all; a text with one of them, in any case, is encoded whole.
     """
 
     def __init__(self, path: str, max_words: int = 800_000):
@@ -56,6 +57,8 @@ class WordEncoder:
         self._ends = np.zeros(self._tok.get_vocab_size(), bool)
         for piece, i in self._tok.get_vocab().items():
             self._ends[i] = piece.endswith("</w>")
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self._added = re.compile("|".join(added) if added else "(?!)", re.IGNORECASE)
         self._cores: dict[str, bytes] = {}
         self._keep(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
@@ -101,7 +104,7 @@ class WordEncoder:
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text."""
         plain = texts.to_pylist()
-        odd = [i for i, t in enumerate(plain) if ODD.search(t)]
+        odd = [i for i, t in enumerate(plain) if ODD.search(t) or self._added.search(t)]
         if odd:
             mask = np.zeros(len(plain), bool)
             mask[odd] = True
@@ -123,7 +126,8 @@ class WordEncoder:
         bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         out = [tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
         for i in odd:
-            out[i] = self._whole(plain[i]) if ODD_SPACE.search(plain[i]) else b"".join(map(self._compose, plain[i].split()))
+            whole = ODD_SPACE.search(plain[i]) or self._added.search(plain[i])
+            out[i] = self._whole(plain[i]) if whole else b"".join(map(self._compose, plain[i].split()))
         if len(self._words) > self._max:  # those of this batch stay
             size = self._size[at]
             ends = np.cumsum(size)
@@ -158,7 +162,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int |
             arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows[0]), part, np.int32))], names=["doc_id", "start", "length", "doc_tokens", "ids", "rank", "part"])
 
-    return materialize(spark, doc_rows(docs).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, rank long, part int"), "pieces")
+    return materialize(spark, doc_rows(docs).mapInArrow(lean(cut), "doc_id long, start long, length long, doc_tokens long, ids binary, rank long, part int"), "pieces")
 
 
 def fill(capacity: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
