@@ -6,20 +6,22 @@ ending here, that some item holds.  Where that run reaches the window width, a w
 an item ends; the states on the suffix path say which items hold it.
 
 The items are a stated set, sent to the executors in automata of at most
-``words_per_automaton`` words; a larger set makes more automata, and each
-document is streamed through one after the other, in passes joined by document.
+``words_per_automaton`` words.  A larger set makes more automata: each is built,
+broadcast, streamed over all documents and dropped before the next; what the
+passes find is stored and merged by row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, doc_rows
+from .common import arrow_batches, doc_rows, lean, materialize
 
 #: Bytes to words: A-Z as a-z, the other ASCII characters but digits and letters as spaces, bytes of other characters as they are.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -154,19 +156,72 @@ class Automaton:
         return longest
 
 
-def automata(items: DataFrame, width: int, words_per_automaton: int) -> list[Automaton]:
-    """Automata over all items, in blocks of a bounded number of words (a longer item is a block of its own)."""
-    out: list[Automaton] = []
+def automata(items: DataFrame, width: int, words_per_automaton: int) -> Iterator[Automaton]:
+    """Automata over all items, one at a time, each of a bounded number of words (a longer item has one of its own)."""
     held: list[tuple[str, list[bytes]]] = []
     size = 0
     for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
         words = words_of(r.t or "")
         if held and size + len(words) > words_per_automaton:
-            out.append(Automaton(held, width))
+            yield Automaton(held, width)
             held, size = [], 0
         held.append((r.i if r.i is not None else "", words))
         size += len(words)
-    return [*out, Automaton(held, width)] if held else out
+    if held:
+        yield Automaton(held, width)
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = {"n_words": pa.int64(), "spans": SPANS, "items": pa.list_(pa.string()), "longest": pa.int64()}
+FOUND_SQL = "n_words long, spans array<struct<start: long, end: long>>, items array<string>, longest long"
+
+
+def _batch(key: pa.Array, name: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of ``key`` and the columns of ``FOUND``."""
+    made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(FOUND.values())]
+    return pa.RecordBatch.from_arrays([key, *made], names=[name, *FOUND])
+
+
+def _as_spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"start": s, "end": e} for s, e in spans]
+
+
+def _scan(spark: SparkSession, rows: DataFrame, automaton: Automaton) -> tuple[DataFrame, Callable[[], None]]:
+    """What one automaton finds in ``rows(key, text)``, under the first column's name; and how to drop the automaton."""
+    sent, name = spark.sparkContext.broadcast(automaton), rows.columns[0]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                words = words_of(text)
+                spans, found, longest = sent.value.scan(words)
+                out.append((len(words), _as_spans(spans), sorted(found), longest))
+            yield _batch(b.column(0), name, out)
+
+    return rows.mapInArrow(lean(scan), f"`{name}` long, {FOUND_SQL}"), sent.unpersist
+
+
+def _passes(spark: SparkSession, rows: DataFrame, first: Automaton, others: Iterator[Automaton]) -> DataFrame:
+    """What all automata find in ``rows(_row, text)``: a pass for each, stored, then merged by row."""
+    stored = None
+    while first is not None:
+        found, drop = _scan(spark, rows, first)
+        del first
+        found = materialize(spark, found, "hits")
+        drop()
+        stored = found if stored is None else stored.unionByName(found)
+        first = next(others, None)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for parts in b.column(1).to_pylist():  # one from each automaton
+                spans = merge_spans([(s["start"], s["end"]) for p in parts for s in p["spans"]])
+                out.append((parts[0]["n_words"], _as_spans(spans), sorted({i for p in parts for i in p["items"]}), max(p["longest"] for p in parts)))
+            yield _batch(b.column(0), "_row", out)
+
+    return stored.groupBy("_row").agg(F.collect_list(F.struct(*FOUND)).alias("parts")).mapInArrow(lean(merge), f"_row long, {FOUND_SQL}")
 
 
 def find(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10, words_per_automaton: int = 2_000_000) -> DataFrame:
@@ -177,31 +232,16 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = 10
     ``longest``: the longest run of words that the document shares with an item.
     Null and empty texts have no words and no spans; items without words have
     no windows; an empty item table finds nothing.  Items with equal texts are
-    all reported.  Repeated documents are each scanned.
+    all reported; items under one id count as one.  Repeated documents are each scanned.
     """
     arrow_batches(spark)
-    schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>, longest long"
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.int64()]
-    sent = [spark.sparkContext.broadcast(a) for a in automata(items, width, words_per_automaton)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in kinds]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                hit: list[tuple[int, int]] = []
-                names: set[str] = set()
-                longest = 0
-                for a in sent:
-                    spans, found, n = a.value.scan(words)
-                    hit = merge_spans([*hit, *spans]) if hit else spans
-                    names |= found
-                    longest = max(longest, n)
-                for to, x in zip(out, (doc, len(words), [{"start": s, "end": e} for s, e in hit], sorted(names), longest), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "n_words", "spans", "items", "longest"])
-
-    return doc_rows(docs).mapInArrow(scan, schema)
+    built, rows = automata(items, width, words_per_automaton), doc_rows(docs)
+    first, second = next(built, None) or Automaton([], width), next(built, None)
+    if second is None:
+        return _scan(spark, rows, first)[0]
+    rows = materialize(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = _passes(spark, rows.select("_row", "text"), first, chain([second], built))
+    return rows.select("_row", "doc_id").join(found, "_row").select("doc_id", *FOUND)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,26 +260,40 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int =
     A document without hits keeps its text to the byte; all its other columns stay as they are.
     """
     arrow_batches(spark)
-    sent = [spark.sparkContext.broadcast(a) for a in automata(items, width, words_per_automaton)]
+    built = automata(items, width, words_per_automaton)
+    first, second = next(built, None) or Automaton([], width), next(built, None)
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
+
+        def spans_of(b: pa.RecordBatch, i: int, words: list[bytes]) -> list[tuple[int, int]]:
+            return sent.value.scan(words)[0]
+
+        rows = docs
+    else:
+        numbered = materialize(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = _passes(spark, numbered.select("_row", F.coalesce("text", F.lit("")).alias("text")), first, chain([second], built))
+        rows = numbered.join(found.where("size(spans) > 0").select("_row", F.col("spans").alias("_spans")), "_row", "left").drop("_row")
+
+        def spans_of(b: pa.RecordBatch, i: int, words: list[bytes]) -> list[tuple[int, int]]:
+            return [(s["start"], s["end"]) for s in b.column(b.num_columns - 1)[i].as_py() or []]
+
+    names, schema = docs.columns, docs.schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.schema.get_field_index("text")
+            k = names.index("text")
             texts, keep = b.column(k).to_pylist(), []
             for i, text in enumerate(texts):
-                if not text:
-                    keep.append(True)
-                    continue
-                words = words_of(text)
-                spans = merge_spans([s for a in sent for s in a.value.scan(words)[0]])
+                words = words_of(text or "")
+                spans = spans_of(b, i, words) if words else []
                 hit = sum(e - s for s, e in spans)
                 keep.append(hit <= max_share * len(words))
                 if hit and keep[-1]:
                     texts[i] = without(text, spans)
-            arrays = [pa.array(texts, b.schema.field(k).type) if j == k else c for j, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
+            arrays = [pa.array(texts, b.schema.field(k).type) if j == k else b.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(lean(clean), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

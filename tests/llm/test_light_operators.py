@@ -62,6 +62,14 @@ def test_packing_edges(spark, make, edges):
     assert packing.pack(spark, make(["a b"] * 5, [None, 1, 1, 1, None]), WORDS).count() == 5
 
 
+def test_special_strings(spark, make):
+    """The tokenizer knows its added tokens in the raw text only, by their case."""
+    from pyspark.sql import functions as F
+
+    texts = ["x <|ENDOFTEXT|> y", "x <|endoftext|> y", "a<|EndOfText|>b", "<|startoftext|><|STARTOFTEXT|>", "é <|ENDOFTEXT|>", "<|endo ftext|>", " <|endoftext|> ", "plain"]
+    check_packing(packing.pack(spark, make(texts), WORDS).withColumn("ids_crc32", F.crc32("ids")).collect(), list(enumerate(texts)), 4096)
+
+
 def test_plan_is_minimum_slack():
     r = np.random.default_rng(3)
     for _ in range(20):
@@ -198,7 +206,9 @@ def test_decontamination_edges(spark, make, edges, per_automaton):
     none = decontamination.find(spark, make(edges), table.limit(0)).collect()
     assert len(none) == len(edges) and not any(r.spans for r in none)
     assert decontamination.find(spark, make([]), table).count() == 0
-    kept = {r.doc_id: r.text for r in decontamination.remove(spark, make(edges), table).collect()}
+    out = decontamination.remove(spark, make(edges), table, 10, 0.5, per_automaton)
+    assert out.columns == make([]).columns
+    kept = {r.doc_id: r.text for r in out.collect()}
     assert set(kept) == {i for i, t in enumerate(edges) if len(brute_items(t, items)[1]) <= 0.5 * brute_items(t, items)[0]}
     for i, t in kept.items():
         n, hit, _ = brute_items(t, items) if t is None else brute_items(edges[i], items)
