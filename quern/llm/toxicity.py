@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, doc_rows
+from .common import arrow_batches, doc_rows, lean, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, END = 3, 6, "$"
@@ -176,7 +176,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled:
 
     is_toxic, is_last = F.col("toxic"), F.col("last")
     total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
-    sums = rows.mapInArrow(count, "unit string, toxic boolean, last boolean, n long").groupBy("unit").agg(
+    sums = rows.mapInArrow(lean(count), "unit string, toxic boolean, last boolean, n long").groupBy("unit").agg(
         total(is_toxic & ~is_last).alias("t"), total(~is_toxic & ~is_last).alias("c"), total(is_toxic & is_last).alias("t4"), total(~is_toxic & is_last).alias("c4")
     )
     # Units met once tell nothing; the rest are bounded by the sample.
@@ -200,24 +200,39 @@ def _last(table: dict) -> tuple[int, int]:
 
 
 def _calibrate(spark: SparkSession, rows: DataFrame, model: Model) -> None:
-    """Fit lambda, K and the logistic curve on rows that the weights did not see."""
+    """Fit lambda, K and the logistic curve on rows that the weights did not see.
+
+    Segment scores stay in a stored table and are summed up there; the driver gets
+    201 counts, and two numbers for each document of the bounded sample.
+    """
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["toxic", "n", "xs", "bin", "times"]
+        clean = np.zeros(201, np.int64)
         for b in batches:
-            out: list[list] = [[] for _ in range(4)]
+            n, found = [], []
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = sent.value.scores(text)
-                bins = np.bincount(np.clip(np.round(s * 10) + 100, 0, 200).astype(int), minlength=201)
-                for to, x in zip(out, (toxic, len(s), [x for x, _, _ in maximal_segments(s)], bins.tolist()), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64())), pa.array(out[3], pa.list_(pa.int64()))], names=["toxic", "n", "xs", "bins"])
-
-    got = rows.mapInArrow(measure, "toxic int, n long, xs array<double>, bins array<long>").toArrow().to_pydict()
-    clean = [i for i, t in enumerate(got["toxic"]) if t == 0 and got["n"][i]]
-    if not clean or len(clean) == len(got["toxic"]):
+                if toxic == 0:
+                    clean += np.bincount(np.clip(np.round(s * 10) + 100, 0, 200).astype(int), minlength=201)
+                n.append(len(s))
+                found.append([x for x, _, _ in maximal_segments(s)])
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64())), *none], names=names)
+        used = np.flatnonzero(clean)
+        none = [pa.nulls(len(used), t) for t in (pa.int32(), pa.int64(), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(clean[used])], names=names)
+
+    got = materialize(spark, rows.mapInArrow(lean(measure), "toxic int, n long, xs array<double>, bin int, times long"), "segments")
+    sent.unpersist()
+    docs = got.where("toxic is not null").withColumn("clean", (F.col("toxic") == 0) & (F.col("n") > 0))
+    n_docs, n_clean = docs.agg(F.count("*"), F.count(F.when(F.col("clean"), 1))).first()
+    if not n_clean or n_clean == n_docs:
         return
-    bins = np.sum([got["bins"][i] for i in clean], axis=0)
+    bins = np.zeros(201)
+    for r in got.where("bin is not null").groupBy("bin").agg(F.sum("times").alias("times")).collect():  # 201 rows at most
+        bins[r.bin] = r.times
     values, share = (np.arange(201) - 100) / 10, bins / bins.sum()
     if share @ values < 0 and bins[101:].any():
         lo, hi = 1e-6, 20.0
@@ -225,14 +240,14 @@ def _calibrate(spark: SparkSession, rows: DataFrame, model: Model) -> None:
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if share @ np.exp(mid * values) < 1 else (lo, mid)
         model.rate = lo
-    top = np.array([max(got["xs"][i], default=0.0) for i in clean])
-    n = np.array([got["n"][i] for i in clean], float)
-    model.scale = float(len(clean) / np.sum(n * np.exp(-model.rate * top)))
-    e = []
-    for xs, m in zip(got["xs"], got["n"], strict=True):
-        rate = [math.log(max(1e-300, model.scale * m)) - model.rate * x for x in xs]
-        e.append(sum(-r for r in rate if r < 0))
-    x, y = np.log1p(np.array(e)), np.array(got["toxic"], float)
+    top = F.coalesce(F.array_max("xs"), F.lit(0.0))
+    model.scale = float(n_clean / docs.where("clean").agg(F.sum(F.col("n") * F.exp(F.lit(-model.rate) * top))).first()[0])
+    log_n = F.log(F.greatest(F.lit(1e-300), F.lit(model.scale) * F.col("n")))
+    evidence = F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), F.lit(model.rate) * x - log_n))
+    # max_labelled bounds the rows.
+    table = docs.select("toxic", evidence.alias("e")).toArrow()
+    e, toxic = table.column("e").to_numpy(), table.column("toxic").to_numpy()
+    x, y = np.log1p(e), toxic.astype(float)
     a = np.stack([np.ones_like(x), x], 1)
     w = np.zeros(2)
     for _ in range(60):  # Newton steps, with a small ridge for separable data
@@ -264,7 +279,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(chance, pa.float64()), pa.array(passages, kind)], names=["doc_id", "held_out", "score", "passages"])
 
     rows = doc_rows(docs).withColumn("held_out", fold(F.col("doc_id")) == 0)
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, passages array<struct<start: long, end: long, score: double, rate: double>>")
+    out = rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, passages array<struct<start: long, end: long, score: double, rate: double>>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
@@ -279,4 +294,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([m.chance(m.evidence(m.scores(t or ""))) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
