@@ -48,7 +48,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = simhash.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
     name = simhash.fingerprint_text
-    return out.select("doc_id", "n_chars", "edited_sha256", name(F.col("fp")).alias("fingerprint"), name(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", name(F.col("fp")).alias("fingerprint"), name(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
 
 
 def _removed(spans: str = "spans"):

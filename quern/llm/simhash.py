@@ -3,9 +3,10 @@
 DataFrame operations only.  Every term of a text (a word with the two that
 follow) votes with its hash on 64 signed bits, as often as it occurs, so a term
 weighs by its frequency.  Votes are summed four bits' counters to a number, and
-partial sums leave a task as one row per text.  ``near_pairs`` finds all pairs of
+partial sums leave a task as one row per text.  ``near_search`` and ``near_pairs`` find all
 fingerprints within a Hamming radius: of more blocks than the radius some agree, and
-for each choice of blocks a table keyed by them meets such pairs.
+for each choice of blocks a table keyed by them meets such pairs.  A key that many fingerprints
+share is split over tasks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import materialize
 #: Counters of 16 bits: so many terms go into one sum at most.
 CHUNK = 60_000
 LANES = 0x0001000100010001
+#: Tasks that rows of one fingerprint are spread over.
+SALTS = 16
 
 
 def _votes(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,16 +52,18 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return _votes(docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("t")), keys)
 
 
-def in_order(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
+def in_order(docs: DataFrame, rows_per_bucket: int = 500) -> DataFrame:
     """``docs`` as ``(doc_id, text, bucket)``: buckets of about that many rows, in the order of ``doc_id``.
 
     Bucket bounds are 64 approximate quantiles, each range cut evenly; the number of buckets
-    stays below about 100,000.
+    stays below about 100,000.  Rows with a null id come first, in buckets by a hash of their texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n, lo, hi, cuts = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 1000)).first()
+    n, named, lo, hi, cuts = rows.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 1000)).first()
+    bits = min(16, max(0, (n - named) // rows_per_bucket).bit_length())
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 64 - bits) - F.lit(1 << bits) if bits else F.lit(-1)
     if lo is None:
-        return rows.withColumn("bucket", F.lit(-1).cast("long"))
+        return rows.withColumn("bucket", unnamed.cast("long"))
     cuts = sorted({c for c in cuts if c > lo})
     starts, ends = [lo, *cuts], [*cuts, hi + 1]
     parts = max(1, n // (len(starts) * max(rows_per_bucket, n // 100_000)))
@@ -66,7 +71,7 @@ def in_order(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     at = lambda values: F.element_at(F.array(*(F.lit(v).cast("double") for v in values)), F.col("q"))
     place = F.floor((F.col("doc_id") - at(starts)) / (at(ends) - at(starts)) * parts)
     bucket = F.col("q") * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), place))
-    return rows.withColumn("q", F.when(F.col("doc_id").isNotNull(), q)).select("doc_id", "text", F.coalesce(bucket, F.lit(-1)).cast("long").alias("bucket"))
+    return rows.withColumn("q", F.when(F.col("doc_id").isNotNull(), q)).select("doc_id", "text", F.coalesce(bucket, unnamed).cast("long").alias("bucket"))
 
 
 def _next_bucket(firsts: DataFrame) -> DataFrame:
@@ -77,15 +82,18 @@ def _next_bucket(firsts: DataFrame) -> DataFrame:
     return firsts.join(before, "bucket").drop("bucket").withColumnRenamed("before", "bucket")
 
 
-def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def fingerprint_edits(spark: SparkSession, docs: DataFrame, radius: int = 3, queried: Column | None = None) -> DataFrame:
     """Fingerprints of texts and of their edits, with likenesses.
 
     Returns ``(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited,
-    near_next)``.  The edit replaces the last quarter of the code points by the
+    near_next, n_near)``.  The edit replaces the last quarter of the code points by the
     first as many of the next document's in the order of ``doc_id`` (null first; equal
-    ids by text), the first document following the last.  Null texts are empty; empty texts
+    ids by text), the first document following the last.  ``n_near``: for the rows of the condition ``queried``
+    on ``doc_id`` (by default those divisible by 50) the number of other rows with a fingerprint within ``radius``
+    bits; null for the rest.  Null texts are empty; empty texts
     have the fingerprint of the empty term; a single document follows itself; an empty table gives no rows.
     """
+    queried = F.col("doc_id") % 50 == 0 if queried is None else queried
     rows = in_order(docs)
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "text"))["text"].alias("head"))
@@ -101,33 +109,64 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = materialize(spark, about.join(fps, ["bucket", "rn"]), "fingerprints")
     following = F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn"))
     heads = found.where("rn = 1").select("bucket", F.col("fp").alias("head"))
-    found = found.withColumn("next", following).join(_next_bucket(heads), "bucket")
+    near = near_search(found.where(queried).select("fp"), found.groupBy("fp").agg(F.count("*").alias("n")), radius)
+    near = materialize(spark, near.groupBy("a").agg((F.sum("n") - 1).alias("n_near")), "near")
+    # A fingerprint of many rows is met under several salts.
+    near = near.select(F.col("a").alias("fp"), "n_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.when(queried, F.pmod(F.xxhash64("bucket", "rn"), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("next", following).join(_next_bucket(heads), "bucket").withColumn("salt", salt).join(near, ["fp", "salt"], "left")
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.coalesce("next", "head")).alias("near_next"),
+        likeness(F.col("fp"), F.coalesce("next", "head")).alias("near_next"), "n_near",
     )
 
 
-def near_pairs(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All pairs ``(a, b, distance)`` of distinct fingerprints ``fp`` within ``radius`` bits, ``a < b``.
-
-    Fingerprints are cut into ``blocks`` blocks; a pair within the radius agrees in
-    ``blocks - radius`` of them at least.  For every choice of so many blocks there is a table of the
-    fingerprints keyed by these blocks, and pairs that meet in a table are compared in full;
-    a pair counts in the first table where it meets.  Equal fingerprints are one.  Rows
-    with null are left out.
-    """
+def _block_masks(radius: int, blocks: int) -> list[int]:
+    """A mask of 64 bits for every choice of ``blocks - radius`` of the blocks."""
     if not radius < blocks <= 64:
         raise ValueError("more blocks than the radius, 64 at most")
-    distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    keyed = lambda name: distinct.select(
-        F.col("fp").alias(name), F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in choices))).alias("t", "key")
-    )
+    return [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
+
+
+def _met(left: DataFrame, right: DataFrame, masks: list[int], radius: int, most: int, less: bool = False) -> DataFrame:
+    """Pairs of ``left(a)`` and ``right(b, ...)`` within ``radius`` bits (with ``less``, ``a < b``), each found once, and their ``distance``.
+
+    Both are keyed by each of the masks, and rows with equal keys are compared; a pair counts in the
+    first table where it meets.  Keys with over ``most`` rows on the right are split among tasks, to which the left rows go.
+    """
+    keyed = lambda df, c: df.select("*", F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m)) for m in masks))).alias("t", "key"))
+    left, right, on = keyed(left, "a"), keyed(right, "b"), ["t", "key"]
+    counts = right.groupBy(*on).agg(F.count("*").alias("c")).where(F.col("c") > most)
+    hot = counts.select(*on, F.ceil(F.col("c") / most).cast("int").alias("parts"))
+    cold = left.join(right.join(hot, on, "left_anti"), on)
+    split_right = right.join(hot, on).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    split_left = left.join(hot, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    split = split_left.repartition(*on, "part").join(split_right.repartition(*on, "part"), [*on, "part"]).drop("part")
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    met = keyed("a").join(keyed("b"), ["t", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius))
-    agree = F.array(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(choices)))
-    return met.where(F.col("t") == F.array_min(agree)).select("a", "b", F.bit_count(apart).cast("int").alias("distance"))
+    agree = F.array(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
+    order = F.col("a") < F.col("b") if less else F.lit(True)
+    near = cold.unionByName(split).where(order & (F.bit_count(apart) <= radius))
+    return near.where(F.col("t") == F.array_min(agree)).drop(*on).withColumn("distance", F.bit_count(apart).cast("int"))
+
+
+def near_search(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 1000) -> DataFrame:
+    """``(a, b, n, distance)``: for each distinct fingerprint ``fp`` of ``queries`` the rows ``(fp, n)`` of ``fps`` within ``radius`` bits.
+
+    Fingerprints are cut into ``blocks`` blocks; a pair within the radius agrees in
+    ``blocks - radius`` of them at least.  For every choice of so many blocks there is a table of the
+    fingerprints keyed by these blocks, and pairs that meet in a table are compared in full.  Null finds nothing.
+    """
+    left = queries.where(F.col("fp").isNotNull()).select(F.col("fp").alias("a")).distinct()
+    return _met(left, fps.where(F.col("fp").isNotNull()).withColumnRenamed("fp", "b"), _block_masks(radius, blocks), radius, most)
+
+
+def near_pairs(fps: DataFrame, radius: int = 3, blocks: int = 6, most: int = 1000) -> DataFrame:
+    """All pairs ``(a, b, distance)`` of distinct fingerprints ``fp`` within ``radius`` bits, ``a < b``; found as in ``near_search``.
+
+    Equal fingerprints are one.  Rows with null are left out.
+    """
+    distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
+    return _met(distinct.withColumnRenamed("fp", "a"), distinct.withColumnRenamed("fp", "b"), _block_masks(radius, blocks), radius, most, less=True)

@@ -27,10 +27,40 @@ def check(rows, texts):
         assert r.near_edited == like(r.fp, r.edited_fp) and r.near_next == like(r.fp, rows[(i + 1) % len(rows)].fp)
 
 
+def check_near(rows, fp):
+    values = np.array([fp(r) & (2**64 - 1) for r in rows], np.uint64)
+    for r, v in zip(rows, values, strict=True):
+        want = int((np.bitwise_count(values ^ v) <= 3).sum()) - 1
+        assert r.n_near == (want if r.doc_id is not None and r.doc_id % 50 == 0 else None)
+
+
+def test_near_counts(spark, make):
+    r = random.Random(6)
+    base = " ".join(f"w{r.randint(0, 999)}" for _ in range(300))
+    texts = [base] * 30 + [base.replace(" ", "  x ", k) for k in range(40)] + ["b c"] * 12 + [None, "", "other text"]
+    ids = [50 * (i % 35) if i % 9 else None for i in range(len(texts))]
+    rows = simhash.fingerprint_edits(spark, make(texts, ids)).collect()
+    check_near(rows, lambda r: r.fp)
+    assert max(r.n_near or 0 for r in rows) >= 29
+    fps = spark.createDataFrame([(r.fp, 1) for r in rows], "fp long, n int")
+    split = simhash.near_search(fps, fps, 3, 6, 2)
+    whole = simhash.near_search(fps, fps, 3, 6)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_rows_without_ids(spark, make):
+    texts = [f"text {i} of many" for i in range(120)] + ["same"] * 30
+    rows = simhash.in_order(make(texts, [None] * 100 + list(range(50))), 10)
+    sizes = {r.bucket: r["count"] for r in rows.where("doc_id is null").groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == 100 and len(sizes) > 5 and max(sizes) < 0
+    assert simhash.fingerprint_edits(spark, make(texts, [None] * 150)).count() == 150
+
+
 def test_query(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     rows = q.QUERIES["op3_simhash"](spark, sf).orderBy("doc_id").collect()
     check([type("R", (), r.asDict() | {"fp": int(r.fingerprint, 16), "edited_fp": int(r.edited_fingerprint, 16)}) for r in rows], texts)
+    check_near(rows, lambda r: int(r.fingerprint, 16))
     long = [r for r in rows if r.n_chars > 400]
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.97
 
@@ -64,7 +94,9 @@ def test_near_pairs(spark):
     values = [v - 2**64 if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "fp long")
     for radius, blocks in ((0, 1), (3, 6), (3, 4), (5, 7)):
-        got = {(x.a, x.b, x.distance) for x in simhash.near_pairs(df, radius, blocks).collect()}
+        found = simhash.near_pairs(df, radius, blocks, 1000 if blocks == 6 else 3).collect()
+        got = {(x.a, x.b, x.distance) for x in found}
+        assert len(got) == len(found)
         d = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
         u = sorted(set(values))
         assert got == {(a, b, d(a, b)) for i, a in enumerate(u) for b in u[i + 1 :] if d(a, b) <= radius}
