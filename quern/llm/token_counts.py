@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, doc_rows
+from .common import arrow_batches, doc_rows, lean
 
 MARK = "▁"
 PARTS = re.compile(" +[^ ]*|[^ ]+")
@@ -260,5 +260,5 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["doc_id", "n_bytes", "n_tokens", "words_in_limit", "chars_in_limit"])
 
     rows = doc_rows(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, words_in_limit long, chars_in_limit long")
+    out = rows.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long, words_in_limit long, chars_in_limit long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "words_in_limit", "chars_in_limit")
