@@ -10,6 +10,10 @@ from quern.llm.common import materialize
 from quern.llm.queries import table, vocabulary
 
 
+#: Bytes of a repeated string, about 45 words of prose: passages of over 50 words that documents share are caught.
+REPEATED_BYTES = 256
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return toxicity.keep_clean(spark, docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
@@ -21,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start elsewhere too."""
-    return suffix_dedup.remove(spark, docs, 400)
+    """Texts without the strings of ``REPEATED_BYTES`` that start elsewhere too."""
+    return suffix_dedup.remove(spark, docs, REPEATED_BYTES)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
