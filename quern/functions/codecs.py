@@ -8,6 +8,7 @@ is the sum of the values if the reader knows it (document gaps) or None
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import le
 from typing import NamedTuple
 
 import numpy as np
@@ -218,7 +219,7 @@ def simple16_encode(values: np.ndarray, total: int | None = None) -> bytes:
     while i < len(v):
         for selector, cuts in enumerate(SIMPLE16):
             m = min(len(cuts), len(v) - i)
-            if all(b <= c for b, c in zip(bits[i : i + m], cuts, strict=False)):
+            if all(map(le, bits[i : i + m], cuts)):
                 word, shift = selector, 4
                 for x, c in zip(v[i : i + m], cuts, strict=False):
                     word |= x << shift
@@ -255,23 +256,33 @@ def _unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return (planes << np.arange(bits)).sum(1)
 
 
+def _pfor_run(part: np.ndarray, b: int) -> bytes:
+    """A run with ``b`` bits a value."""
+    wide = np.flatnonzero(part >> b)
+    extra = simple16_encode(np.concatenate([np.diff(wide, prepend=-1) - 1, (part[wide] >> b) - 1])) if len(wide) else b""
+    return bytes([b, len(wide), len(extra) // 4]) + _pack(part & ((1 << b) - 1), b) + extra
+
+
 def pfor_encode(values: np.ndarray, total: int | None = None) -> bytes:
-    """Runs of 128 values in b bits each, b by least size; what does not fit adds its high bits and place by Simple16."""
+    """Runs of 128 values in b bits each; what does not fit adds its high bits and place by Simple16.
+
+    Sizes of all b are estimated from the counts of values by their bits; the two most promising are encoded, the smaller stays.
+    """
     v, out = np.asarray(values, np.int64), []
     if len(v) and v.max() >= 1 << 28:
         raise ValueError("the exceptions' Simple16 holds values below 2**28")
     for a in range(0, len(v), 128):
-        part, best = v[a : a + 128], None
-        top = int(part.max()).bit_length()
-        for b in range(top + 1):
-            wide = np.flatnonzero(part >> b)
-            if len(wide) > 127:
-                continue
-            extra = simple16_encode(np.concatenate([np.diff(wide, prepend=-1) - 1, (part[wide] >> b) - 1])) if len(wide) else b""
-            whole = bytes([b, len(wide), len(extra) // 4]) + _pack(part & ((1 << b) - 1), b) + extra
-            if best is None or len(whole) < len(best):
-                best = whole
-        out.append(best)
+        part = v[a : a + 128]
+        bits = np.frexp(part.astype(float))[1]
+        count = np.bincount(bits)
+        top = len(count) - 1
+        at = np.arange(top + 1)
+        wide = len(part) - np.cumsum(count)
+        over = np.maximum(at[None, :] - at[:, None], 0) @ count  # bits above b of all values
+        gap = wide * np.ceil(np.log2(len(part) / np.maximum(wide, 1) + 1))
+        size = np.where(wide > 127, np.inf, len(part) * at + 1.15 * (over + gap))
+        best = np.argsort(size, kind="stable")[:2].tolist()
+        out.append(min((_pfor_run(part, b) for b in best if wide[b] <= 127), key=len))
     return b"".join(out)
 
 
@@ -388,24 +399,18 @@ def delta_decode(data: bytes, n: int, total: int | None = None) -> np.ndarray:
 
 
 def _put_small(w: BitWriter, value: int, size: int) -> None:
-    """A number below ``size`` in the fewer bits where they do."""
-    bits = (size - 1).bit_length()
-    short = (1 << bits) - size
-    if value < short:
-        w.put(value, bits - 1)
-    else:
-        value += short
-        w.put(value >> 1, bits - 1)
-        w.put(value & 1, 1)
+    """A number below ``size``: the low k bits, 2**k <= size, and one more where two numbers share them."""
+    k = size.bit_length() - 1
+    low = value & ((1 << k) - 1)
+    w.put(low, k)
+    if low + (1 << k) < size:
+        w.put(value >> k, 1)
 
 
 def _take_small(r: BitReader, size: int) -> int:
-    bits = (size - 1).bit_length()
-    short = (1 << bits) - size
-    value = r.take(bits - 1)
-    if value < short:
-        return value
-    return (value << 1 | r.take(1)) - short
+    k = size.bit_length() - 1
+    low = r.take(k)
+    return low | r.take(1) << k if low + (1 << k) < size else low
 
 
 def interpolative_encode(values: np.ndarray, total: int | None = None) -> bytes:
@@ -483,12 +488,64 @@ def bitmap_decode(data: bytes, n: int, universe: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little"))[:n]
 
 
+def _rising(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Prefix sums of the values plus one, from 0, and the bound that their sum gives."""
+    v = np.asarray(values, np.int64)
+    return np.cumsum(v + 1) - 1, int(v.sum()) + len(v)
+
+
+def _with_total(values: np.ndarray, total: int | None) -> bytes:
+    return vbyte_encode(np.array([int(np.sum(values))])) if total is None else b""
+
+
+def _without_total(data: bytes, total: int | None) -> tuple[bytes, int]:
+    if total is not None:
+        return data, total
+    return data[next(i for i, b in enumerate(data) if b & 128) + 1 :], int(vbyte_decode(data, 1)[0])
+
+
+def ef_encode(values: np.ndarray, total: int | None = None) -> bytes:
+    """Elias-Fano of the prefix sums."""
+    return _with_total(values, total) + elias_fano_encode(*_rising(values)) if len(values) else b""
+
+
+def ef_decode(data: bytes, n: int, total: int | None = None) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    data, total = _without_total(data, total)
+    return np.diff(elias_fano_decode(data, n, total + n), prepend=-1) - 1
+
+
+def single_encode(values: np.ndarray, total: int | None = None) -> bytes:
+    """The cheapest form of the prefix sums: none where all values are 0, else a byte to tell and Elias-Fano, its strict form or a bitmap."""
+    if not len(values):
+        return b""
+    sums, universe = _rising(values)
+    if universe == len(sums):
+        return _with_total(values, total)
+    forms = [c.encode(sums, universe) for k, c in MONOTONE.items() if k != "bitmap" or universe <= 8 * len(sums) + 64]
+    k = min(range(len(forms)), key=lambda i: len(forms[i]))
+    return _with_total(values, total) + bytes([k]) + forms[k]
+
+
+def single_decode(data: bytes, n: int, total: int | None = None) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    data, total = _without_total(data, total)
+    if not total:
+        return np.zeros(n, np.int64)
+    return np.diff(list(MONOTONE.values())[data[0]].decode(data[1:], n, total + n), prepend=-1) - 1
+
+
 class Codec(NamedTuple):
     encode: Callable[..., bytes]
     decode: Callable[..., np.ndarray]
 
 
-#: Codes of gap blocks and frequency blocks.
+#: Codes of rising sequences in a known universe.
+MONOTONE = {"ef": Codec(elias_fano_encode, elias_fano_decode), "strict_ef": Codec(strict_encode, strict_decode), "bitmap": Codec(bitmap_encode, bitmap_decode)}
+
+#: Codes of gap blocks and frequency blocks, or of whole lists.
 CODECS = {
     "vbyte": Codec(vbyte_encode, vbyte_decode),
     "u32": Codec(u32_encode, u32_decode),
@@ -502,11 +559,10 @@ CODECS = {
     "interpolative": Codec(interpolative_encode, interpolative_decode),
     "gamma": Codec(gamma_encode, gamma_decode),
     "delta": Codec(delta_encode, delta_decode),
+    "ef": Codec(ef_encode, ef_decode),
+    "single": Codec(single_encode, single_decode),
 }
 
-#: Codes of rising sequences in a known universe.
-MONOTONE = {"ef": Codec(elias_fano_encode, elias_fano_decode), "strict_ef": Codec(strict_encode, strict_decode), "bitmap": Codec(bitmap_encode, bitmap_decode)}
-
 
 def mixed_encode(values: np.ndarray, total: int | None = None) -> bytes:
     """A type byte, then the smallest of three codes."""

@@ -22,45 +22,56 @@ def best_bits(u: int, n: int) -> int:
     return 0 if u == n else 1 + min(elias_fano_bits(u, n), bitmap_bits(u, n))
 
 
+def _ceil_log2s(x: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(x, 1))).astype(np.int64)
+
+
+def _best_bits(u: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``best_bits`` of arrays."""
+    low = np.frexp((np.maximum(u, n) // n).astype(float))[1].astype(np.int64) - 1
+    high = n + (u >> low) + 2
+    ef = (((high - n) >> 9) + (n >> 8)) * _ceil_log2s(high) + high + n * low
+    bitmap = (u >> 9) * _ceil_log2s(n + 1) + (n >> 8) * _ceil_log2s(u) + u
+    return np.where(u == n, 0, 1 + np.minimum(ef, bitmap))
+
+
 def partition(values: np.ndarray, fixed: int = 64, eps1: float = 0.03, eps2: float = 0.3) -> list[int]:
-    """Ends of partitions of cost within (1 + eps1)(1 + eps2) of the least.
+    """Ends of partitions of cost within about (1 + eps1)(1 + eps2) of the least.
 
-    A shortest path over places; from each place only edges are tried whose cost first
-    passes one of the geometric bounds fixed * (1 + eps2)^k, up to fixed / eps1.
+    The cost of a part grows with its end.  So for each start and each budget
+    fixed * (1 + eps2)^k, up to fixed / eps1, the farthest end within the budget
+    is found by bisection, for all of them at once; the cheapest way from a start to
+    the end of the list then takes one of these steps, worked out from the last start back.
     """
-    v = np.asarray(values, np.int64).tolist()
+    v = np.asarray(values, np.int64)
     n = len(v)
-    bounds, most = [float(fixed)], fixed / eps1 if eps1 else float("inf")
-    while bounds[-1] < min(most, fixed + best_bits(v[-1] + 1, n)):
-        bounds.append(bounds[-1] * (1 + eps2))
-    ends = [0] * len(bounds)
-    cost = [0] + [1 << 62] * n
-    came = [0] * (n + 1)
-
-    def weigh(i: int, j: int) -> int:
-        base = v[i - 1] + 1 if i else 0
-        return fixed + best_bits(v[j - 1] - base + 1, j - i)
-
-    for i in range(n):
-        last = 0
-        for k, bound in enumerate(bounds):
-            j = max(ends[k], i + 1)
-            while True:
-                w = weigh(i, j)
-                if j != last and cost[i] + w < cost[j]:
-                    cost[j], came[j] = cost[i] + w, i
-                last = j
-                if j == n or w >= bound:
-                    break
-                j += 1
-            ends[k] = j
-            if j == n:
-                break
-    out, at = [], n
-    while at:
-        out.append(at)
-        at = came[at]
-    return out[::-1]
+    whole = fixed + best_bits(int(v[-1]) + 1, n)
+    if whole <= 2 * fixed:  # two parts cost as much
+        return [n]
+    budgets = [fixed * (1 + eps2)]
+    while budgets[-1] < min(whole, fixed / eps1 if eps1 else whole):
+        budgets.append(budgets[-1] * (1 + eps2))
+    budget = np.array(budgets)[:, None]
+    start = np.arange(n)
+    base = np.concatenate([[0], v[:-1] + 1])
+    weigh = lambda end: fixed + _best_bits(v[end - 1] - base + 1, end - start)
+    near = np.broadcast_to(start + 1, (len(budgets), n)).copy()
+    far = np.full_like(near, n)
+    while (near < far).any():
+        middle = (near + far + 1) // 2
+        fits = weigh(middle) <= budget
+        near, far = np.where(fits, middle, near), np.where(fits, far, middle - 1)
+    steps, costs = near.T.tolist(), weigh(near).T.tolist()
+    rest, follow = [0] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        rest[i], follow[i] = min((c + rest[j], j) for j, c in zip(steps[i], costs[i], strict=True))
+    if whole <= rest[0]:
+        return [n]
+    ends, at = [], 0
+    while at < n:
+        at = follow[at]
+        ends.append(at)
+    return ends
 
 
 def total_cost(values: np.ndarray, ends: list[int], fixed: int = 64) -> int:

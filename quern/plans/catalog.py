@@ -257,11 +257,33 @@ def _(spark, sf):
 
 # ---- codes: encode, decode, compare -----------------------------------------
 
+#: Documents of a run: whole lists are encoded in such runs, so no list is one row.
+LIST = 1 << 13
+
+
+def _index(spark: SparkSession, sf: str, codec: str, size: int) -> DataFrame:
+    return layout.decode(layout.encode(layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"), size), codec))
+
+
 for _name in CODECS:
 
-    @query(f"index_{_name}", f"WITH {SUPP} SELECT * FROM p")
+    @query(f"list_{_name}", f"WITH {SUPP} SELECT * FROM p")
     def _(spark, sf, codec=_name):
-        return layout.decode(layout.encode(layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey")), codec))
+        return _index(spark, sf, codec, LIST)
+
+    if _name not in ("ef", "single"):
+
+        @query(f"index_{_name}", f"WITH {SUPP} SELECT * FROM p")
+        def _(spark, sf, codec=_name):
+            return _index(spark, sf, codec, layout.BLOCK)
+
+
+# Index types without blocks: whole lists by Elias-Fano, or by their cheapest form; partitions of 128 documents by theirs.
+for _name, _codec, _size in (("index_ef", "ef", LIST), ("index_single", "single", LIST), ("index_uniform", "single", 128)):
+
+    @query(_name, f"WITH {SUPP} SELECT * FROM p")
+    def _(spark, sf, codec=_codec, size=_size):
+        return _index(spark, sf, codec, size)
 
 
 def _dictionary_index(spark: SparkSession, sf: str, name: str, build) -> DataFrame:

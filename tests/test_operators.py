@@ -64,12 +64,12 @@ def test_blocks_hold_their_invariants(spark, sf):
 
 def test_partitions_cost_no_more_than_one():
     r = np.random.default_rng(42)
-    for gap in (1.1, 1.9, 2.5, 3, 4, 5, 10):
-        for n in (1, 42, 512, 2000):
+    for gap in (1.02, 1.4, 2, 2.8, 6.5, 15, 80):
+        for n in (1, 7, 300, 2100):
             v = np.sort(r.choice(int(n * gap) + 1, n, replace=False))
             ends = partitions.partition(v)
             assert ends[-1] == n and ends == sorted(set(ends))
-            assert partitions.total_cost(v, ends) <= partitions.total_cost(v, [n]) * 1.34
+            assert partitions.total_cost(v, ends) <= partitions.total_cost(v, [n])
             assert np.concatenate([partitions.decode_part(*p) for p in partitions.encode_parts(v, ends)]).tolist() == v.tolist()
     dense = np.concatenate([np.arange(3000), 100_000 + np.arange(0, 300_000, 997)])
     assert partitions.total_cost(dense, partitions.partition(dense)) < partitions.total_cost(dense, [len(dense)])
