@@ -83,14 +83,22 @@ def trim() -> None:
         _c_library().malloc_trim(0)
 
 
+#: When this worker last trimmed its memory between groups.
+_TRIMMED = [0.0]
+
+
 def lean(f):
-    """``f``, a function of a task's batches or of a group's table, that trims the worker's memory when it is done."""
+    """``f``, a function of a task's batches or of a group's table, that trims the worker's memory when it is done.
+
+    A group does not know whether it is its task's last, so groups trim every two seconds.
+    """
     if not inspect.isgeneratorfunction(f):
 
         def group(table: pa.Table) -> pa.Table:
             out = f(table)
-            if table.nbytes > 1 << 20:
+            if time.monotonic() > _TRIMMED[0] + 2:
                 trim()
+                _TRIMMED[0] = time.monotonic()
             return out
 
         return group
