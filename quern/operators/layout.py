@@ -37,10 +37,15 @@ def gaps(postings: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
     return placed.select("term_id", "doc_id", "freq", (F.col("base") + F.col("k")).alias("pos"), prev.alias("prev"), (F.col("doc_id") - prev - 1).alias("gap"), (F.col("freq") - 1).alias("fbias"))
 
 
-def from_gaps(gapped: DataFrame) -> DataFrame:
-    """Postings from ``(term_id, pos, gap, fbias)``."""
-    w = Window.partitionBy("term_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.select("term_id", (F.sum(F.col("gap") + 1).over(w) - 1).alias("doc_id"), (F.col("fbias") + 1).alias("freq"))
+def from_gaps(gapped: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """Postings from ``(term_id, pos, gap, fbias)``; a list is summed up in runs of ``run`` places."""
+    placed = gapped.withColumn("run", F.expr(f"pos div {run}"))
+    sums = placed.groupBy("term_id", "run").agg(F.sum(F.col("gap") + 1).alias("s"))
+    earlier = Window.partitionBy("term_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("term_id", "run", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("term_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("s", F.sum(F.col("gap") + 1).over(inside)).join(before, ["term_id", "run"])
+    return summed.select("term_id", (F.col("before") + F.col("s") - 1).alias("doc_id"), (F.col("fbias") + 1).alias("freq"))
 
 
 def blocks(postings: DataFrame, size: int = BLOCK, range_bits: int = RANGE_BITS) -> DataFrame:

@@ -166,3 +166,20 @@ def test_choices(spark, sf, tmp_path):
     w = choose.least_absolute(df, ["n", "size"], "t")
     assert abs(w["n"] - 3) < 0.02 and abs(w["size"] + 2) < 0.05 and abs(w["bias"] - 5) < 0.5
     assert df.limit(1).select(choose.predict({"n": 2.0, "bias": 1.0}).alias("x")).first().x == 1.0
+
+
+def test_cursors_over_ranges(spark):
+    """Steps, probes and sums do not depend on how lists are cut."""
+    from quern.operators import cursors
+
+    r = np.random.default_rng(9)
+    rows = [(t, int(d), 1 + int(d) % 3) for t in range(4) for d in np.sort(r.choice(400, [1, 5, 90, 300][t], replace=False))]
+    p = spark.createDataFrame(rows, "term_id long, doc_id long, freq long")
+    probes = spark.createDataFrame([(t, x) for t in range(4) for x in range(0, 410, 3)], "term_id long, x long")
+    docs = {t: [d for u, d, _ in rows if u == t] for t in range(4)}
+    for bits in (3, 22):
+        got = sorted(map(tuple, cursors.walk(p, 400, bits).collect()))
+        assert got == [(t, k, d, [*v, 400][k + 1], v[k - 1] if k else 0) for t, v in docs.items() for k, d in enumerate(v)]
+        got = sorted(map(tuple, cursors.next_geq(p, probes, 400, bits).collect()))
+        assert got == [(t, x, min([d for d in v if d >= x], default=400), sum(d < x for d in v)) for t, v in docs.items() for x in range(0, 410, 3)]
+    assert sorted(map(tuple, layout.from_gaps(layout.gaps(p, 4), 7).collect())) == sorted(rows)
