@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stored import store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -52,10 +54,10 @@ def dense_terms(words: DataFrame) -> DataFrame:
 
 
 def text_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of the words of ``documents``, and the vocabulary."""
-    counts = tokens(table(spark, sf_dir, "documents"), "doc_id").groupBy("token", "doc_id").agg(F.count("*").alias("freq"))
-    terms = dense_terms(counts)
-    return counts.join(terms, "token").select("term_id", "doc_id", "freq"), terms
+    """Postings of the words of ``documents``, and the vocabulary; texts are cut into words once."""
+    counts = store(spark, tokens(table(spark, sf_dir, "documents"), "doc_id").groupBy("token", "doc_id").agg(F.count("*").alias("freq")), "counts")
+    terms = store(spark, dense_terms(counts), "terms")
+    return store(spark, counts.join(terms, "token").select("term_id", "doc_id", "freq"), "postings"), terms
 
 
 def text_docs(spark: SparkSession, sf_dir: str, postings: DataFrame) -> DataFrame:
