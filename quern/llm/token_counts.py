@@ -15,7 +15,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -238,6 +238,12 @@ class PrefixTable:
         return (self.ends[k - 1] if k else 0) + max(i for i, n in enumerate(inner) if self.before[k] + n <= budget)
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> PrefixCounter:
+    """A worker's counter: tasks that follow each other share its tables and known words, which are bounded."""
+    return PrefixCounter(path)
+
+
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: int = 4096) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit, words_in_limit, chars_in_limit)`` of every text.
 
@@ -250,7 +256,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: in
     arrow_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer)
+        counter = _counter(tokenizer)
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
