@@ -61,3 +61,27 @@ def move(postings: DataFrame, positions: DataFrame) -> DataFrame:
     """``(term_id, pos, doc_id, freq)`` at the given positions."""
     ranked = layout.gaps(postings).select("term_id", F.col("pos").cast("long").alias("pos"), "doc_id", "freq")
     return ranked.join(positions, ["term_id", "pos"]).select("term_id", "pos", "doc_id", "freq")
+
+
+def bitmap(postings: DataFrame) -> DataFrame:
+    """``(term_id, word, bits)``: the lists as bits, 64 documents to a word; words without a document are left out."""
+    bit = F.expr("shiftleft(1L, cast(doc_id & 63 as int))")
+    return postings.groupBy("term_id", F.shiftright("doc_id", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def bitmap_rank(words: DataFrame, probes: DataFrame, range_bits: int = layout.RANGE_BITS) -> DataFrame:
+    """``(term_id, x, rank)`` for probes ``(term_id, x)``: how many documents of the list are below x.
+
+    A rank is a count for the ranges before, one for the words before in the range, and the
+    bits below x in its own word.  ``range_bits`` is 6 at least.
+    """
+    probe = probes.distinct().select("term_id", F.shiftright("x", 6).alias("word"), F.lit(None).cast("long").alias("bits"), "x")
+    both = words.select("term_id", "word", "bits", F.lit(None).cast("long").alias("x")).unionByName(probe).withColumn("range", F.shiftright("word", range_bits - 6))
+    ones = F.coalesce(F.bit_count("bits"), F.lit(0)).cast("long")
+    earlier = Window.partitionBy("term_id", "range").orderBy("word").rangeBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("term_id", "range", "word")
+    found = both.withColumn("inside", F.coalesce(F.sum(ones).over(earlier), F.lit(0))).withColumn("held", F.max("bits").over(own)).where("x is not null")
+    over = Window.partitionBy("term_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    samples = both.groupBy("term_id", "range").agg(F.sum(ones).alias("n")).select("term_id", "range", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+    below = F.expr("bit_count(coalesce(held, 0L) & ~shiftleft(-1L, cast(x & 63 as int)))")
+    return found.join(samples, ["term_id", "range"]).select("term_id", "x", (F.col("before") + F.col("inside") + below).alias("rank"))

@@ -54,6 +54,17 @@ def drop_prefixes(dictionary: DataFrame) -> DataFrame:
     return dictionary.join(prefixes, "entry", "left_anti")
 
 
+def rectangular(dictionary: DataFrame) -> DataFrame:
+    """``(code, row)``: rows of one length, the entry filled up with zeros to 16 values and its size last."""
+    size = F.size("entry")
+    return dictionary.select("code", F.concat("entry", F.array_repeat(F.lit(0).cast("long"), SIZES[0] - size), F.array(size.cast("long"))).alias("row"))
+
+
+def from_rectangular(rows: DataFrame) -> DataFrame:
+    """``(entry, code)`` of the rows of ``rectangular``."""
+    return rows.select(F.slice("row", F.lit(1), F.element_at("row", -1).cast("int")).alias("entry"), "code")
+
+
 def usage(dictionary: DataFrame) -> DataFrame:
     """``(size, entries, percent)``"""
     n = dictionary.groupBy(F.size("entry").cast("long").alias("size")).agg(F.count("*").alias("entries"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def size_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def throughput(index: DataFrame, decoded: DataFrame) -> DataFrame:
+    """``(lists, postings, bytes, bits_per_int, seconds, ns_per_int, ints_per_second)``: one run of ``decoded`` by the clock.
+
+    ``index`` should be a stored table, so that encoding is not timed.  A posting is two integers.
+    """
+    start = time.perf_counter()
+    decoded.write.format("noop").mode("overwrite").save()
+    seconds = F.lit(time.perf_counter() - start)
+    sizes = index.agg(F.countDistinct("term_id").alias("lists"), F.sum("n").alias("postings"), F.sum(F.octet_length("docs") + F.octet_length("freqs")).cast("long").alias("bytes"))
+    ints = 2 * F.col("postings")
+    return sizes.select("*", (8 * F.col("bytes") / ints).alias("bits_per_int"), seconds.alias("seconds"), (seconds * 1e9 / ints).alias("ns_per_int"), (ints / seconds).alias("ints_per_second"))
+
+
 def latency(times: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, runs, mean, q50, q90, q95)``: quantiles are the sorted values at floor(p n / 100), not interpolated."""
     order = Window.partitionBy(key).orderBy(value)

@@ -49,6 +49,18 @@ def load_dictionaries(spark: SparkSession, path: str) -> dict:
     return {k: MultiDictionary([parts.get(i, []) for i in range(max(parts) + 1)]) if multi else Dictionary(parts[0]) for k, parts in found.items()}
 
 
+def store_statistics(patterns: DataFrame, total: int, path: str) -> None:
+    """Keep counted patterns ``([context,] entry, freq)`` of ``total`` values, the frequent ones first."""
+    order = [F.desc("freq"), F.desc(F.size("entry")), F.col("entry")]
+    patterns.withColumn("total", F.lit(total).cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def load_statistics(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """What ``store_statistics`` kept; with ``most`` only the first so many by frequency, size and entry."""
+    df = spark.read.parquet(path)
+    return df if most is None else df.orderBy(F.desc("freq"), F.desc(F.size("entry")), "entry").limit(most)
+
+
 def or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at ``path``, built by ``build()`` if there is none."""
     try:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.codecs import CODECS
 from quern.operators import boolean, cursors, layout, mining, ranking, space, stats
-from quern.sources import binary, postings as src
+from quern.sources import binary, postings as src, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +196,17 @@ def _(spark, sf):
     return cursors.next_geq(p, p.select("term_id", (F.col("doc_id") + 1).alias("x")), src.table(spark, sf, "orders").count())
 
 
+@query("bitmap_words", f"WITH {SUPP} SELECT term_id, doc_id // 64 AS word, bit_or(CASE WHEN doc_id % 64 = 63 THEN CAST('-9223372036854775808' AS BIGINT) ELSE CAST(1 AS BIGINT) << (doc_id % 64) END) AS bits FROM p GROUP BY 1, 2")
+def _(spark, sf):
+    return cursors.bitmap(src.lineitem_postings(spark, sf, "l_suppkey"))
+
+
+@query("bitmap_rank", f"WITH {SUPP}, pr AS (SELECT DISTINCT term_id, l_orderkey + 1 AS x FROM p JOIN lineitem ON doc_id = l_orderkey) SELECT pr.term_id, x, (SELECT count(*) FROM p WHERE p.term_id = pr.term_id AND doc_id < x) AS rank FROM pr")
+def _(spark, sf):
+    p = src.lineitem_postings(spark, sf, "l_suppkey")
+    return cursors.bitmap_rank(cursors.bitmap(p), p.select("term_id", (F.col("doc_id") + 1).alias("x")))
+
+
 @query("cursor_move", f"WITH {SUPP}, r AS (SELECT term_id, row_number() OVER w - 1 AS pos, doc_id, freq, count(*) OVER (PARTITION BY term_id) AS n FROM p {W}) SELECT term_id, pos, doc_id, freq FROM r WHERE pos = n // 2")
 def _(spark, sf):
     p = src.lineitem_postings(spark, sf, "l_suppkey")
@@ -400,6 +411,15 @@ def _(spark, sf):
     return both
 
 
+@query("decode_throughput")
+def _(spark, sf):
+    out = []
+    for codec in ("vbyte", "streamvbyte", "optpfor", "interpolative"):
+        index = stored.store(spark, layout.encode(layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey")), codec), codec)
+        out.append(stats.throughput(index, layout.decode(index)).select(F.lit(codec).alias("codec"), "*"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("values_statistics", f"""WITH {SUPP}, {GAPS}, e AS (SELECT term_id, pos // 256 AS block_no, gap, count(*) AS c, sum(count(*)) OVER (PARTITION BY term_id, pos // 256) AS n FROM g GROUP BY 1, 2, 3)
 SELECT term_id, block_no, CAST(max(n) AS BIGINT) AS n, round(sum(c * log2(CAST(n AS DOUBLE) / c)), 6) AS entropy, round(sum(c * log2(CAST(gap AS DOUBLE) + 1)), 6) AS sum_of_logs,
 CAST(sum(CASE WHEN gap > 0 THEN c ELSE 0 END) AS BIGINT) AS nonzeros, CAST(max(CASE WHEN gap > 0 THEN length(bin(gap)) ELSE 0 END) AS BIGINT) AS max_b FROM e GROUP BY 1, 2""")
@@ -478,6 +498,32 @@ def _(spark, sf):
     return mining.drop_prefixes(_dictionary(spark, sf)).select(joined().alias("entry"), "code")
 
 
+@query("dictionary_rows", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')}, {SAVED}, {KEPT}, {CODES} SELECT code, array_to_string(entry, ',') || repeat(',0', 16 - len(entry)) || ',' || len(entry) AS row FROM cd")
+def _(spark, sf):
+    return mining.rectangular(_dictionary(spark, sf)).select("code", F.array_join(F.transform("row", lambda x: x.cast("string")), ",").alias("row"))
+
+
+@query("dictionary_rows_back", ORACLE_SQL["dictionary"])
+def _(spark, sf):
+    d = _dictionary(spark, sf)
+    back = mining.from_rectangular(mining.rectangular(d))
+    return back.join(d.select("entry", "freq"), "entry").select(joined().alias("entry"), "freq", "code")
+
+
+#: Patterns that the loader of a single dictionary reads.
+LOADED = 1 << 16
+
+
+@query("block_statistics", f"WITH {SUPP}, {GAPS}, {LISTS}, {_mined('ls')}, {SAVED}, {KEPT} SELECT {ENTRY} AS entry, freq, (SELECT count(*) FROM p) AS total FROM kp QUALIFY row_number() OVER (ORDER BY freq DESC, len(entry) DESC, entry) <= {LOADED}")
+def _(spark, sf):
+    from quern.operators import tables
+
+    total = src.lineitem_postings(spark, sf, "l_suppkey").count()
+    path = stored.new_path(spark, "statistics")
+    tables.store_statistics(mining.worthwhile(mining.count_patterns(_gap_lists(spark, sf)), total), total, path)
+    return tables.load_statistics(spark, path, LOADED).select(joined().alias("entry"), "freq", "total")
+
+
 @query("pattern_contexts", f"""WITH {SUPP}, {GAPS}, fb AS (SELECT term_id, pos // 256 AS block_no, list(gap ORDER BY pos) AS v, max(gap) AS most FROM g GROUP BY 1, 2 HAVING count(*) = 256),
 cx AS (SELECT v, CAST(CASE WHEN most <= 1 THEN 0 WHEN length(bin(most)) <= 1 THEN 0 ELSE length(bin(length(bin(most)) - 1)) END AS BIGINT) AS context FROM fb), {_mined("cx", "context, ")} SELECT context, {ENTRY} AS entry, freq FROM pt""")
 def _(spark, sf):

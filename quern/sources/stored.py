@@ -19,8 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/quern/{tag}-{uuid.uuid4().hex}"
+
+
 def store(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """``df``, written once and read back: what several parts of a query read is worked out once, and lost executors cost none of it."""
-    path = f"{shared_folder(spark)}/quern/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

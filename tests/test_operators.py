@@ -183,3 +183,37 @@ def test_cursors_over_ranges(spark):
         got = sorted(map(tuple, cursors.next_geq(p, probes, 400, bits).collect()))
         assert got == [(t, x, min([d for d in v if d >= x], default=400), sum(d < x for d in v)) for t, v in docs.items() for x in range(0, 410, 3)]
     assert sorted(map(tuple, layout.from_gaps(layout.gaps(p, 4), 7).collect())) == sorted(rows)
+
+
+def test_bitmap_ranks_over_ranges(spark):
+    """Ranks do not depend on how lists are cut; unknown lists, empty ranges and the last bit of a word count as they should."""
+    r = np.random.default_rng(4)
+    docs = {0: [63], 1: [0, 63, 64, 127, 1_000_000], 2: sorted(r.choice(3000, 900, replace=False).tolist())}
+    p = spark.createDataFrame([(t, d, 1) for t, v in docs.items() for d in v], "term_id long, doc_id long, freq long")
+    xs = [0, 1, 62, 63, 64, 65, 127, 128, 500, 2999, 3000, 999_999, 1_000_000, 1_000_001, 5_000_000]
+    probes = spark.createDataFrame([(t, x) for t in (*docs, 9) for x in xs] + [(1, 64)], "term_id long, x long")
+    for bits in (6, 9, 22):
+        got = sorted(map(tuple, cursors.bitmap_rank(cursors.bitmap(p), probes, bits).collect()))
+        assert got == sorted((t, x, sum(d < x for d in docs.get(t, []))) for t in (*docs, 9) for x in xs)
+
+
+def test_stored_statistics_and_rows(spark, tmp_path):
+    rows = [([1, 2], 5), ([3], 5), ([0] * 16, 2), ([7], 9), ([4, 4, 4, 4], 1)]
+    patterns = spark.createDataFrame(rows, "entry array<long>, freq long")
+    path = f"file://{tmp_path}/s"
+    tables.store_statistics(patterns, 44, path)
+    whole = sorted((r.entry, r.freq, r.total) for r in tables.load_statistics(spark, path).collect())
+    assert whole == sorted((e, f, 44) for e, f in rows)
+    assert sorted(r.entry for r in tables.load_statistics(spark, path, 3).collect()) == [[1, 2], [3], [7]]
+    ranked = mining.ranked(patterns)
+    fixed = mining.rectangular(ranked).collect()
+    assert all(len(r.row) == 17 for r in fixed)
+    back = {r.code: r.entry for r in mining.from_rectangular(mining.rectangular(ranked)).collect()}
+    assert back == {r.code: r.entry for r in ranked.collect()}
+
+
+def test_throughput_counts(spark, small):
+    index = layout.encode(layout.blocks(small), "vbyte").cache()
+    row = stats.throughput(index, layout.decode(index)).first()
+    assert (row.lists, row.postings) == (4, 16) and row.bytes > 0 and row.seconds > 0
+    assert abs(row.ns_per_int * 32 / 1e9 - row.seconds) < 1e-9 and abs(row.bits_per_int * 32 - 8 * row.bytes) < 1e-6
