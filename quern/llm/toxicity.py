@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments (operator 5).
 
 A word scores by its log-odds of standing in a toxic rather than a clean
-document.  Words are read as prefixes of 3 to 6 letters (a short word with an end
+document.  Words are read as prefixes of 3 to 6 letters and as a whole (with an end
 mark), each a Dirichlet prior for the next longer one, so rare words lean on their stems.
+Runs of letters in scripts without spaces are cut into overlapping pairs.
 Scores less a drift are negative on the whole; a linear scan finds all maximal
 scoring segments.  In clean text a segment of score x among n words has
 the extreme-value rate K n exp(-lambda x) (Karlin and Altschul); the evidence of
@@ -30,12 +31,33 @@ from .common import arrow_batches, doc_rows, lean, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST, END = 3, 6, "$"
+#: Thai, Lao, Burmese, Khmer, kana, Chinese characters: no spaces between words.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_SPACELESS, RUN = re.compile(f"[{SPACELESS}]"), re.compile(f"([{SPACELESS}]+)|[^{SPACELESS}]+")
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters in lower case; those of scripts without spaces as overlapping pairs."""
+    found = WORD.findall(text.lower())
+    if ANY_SPACELESS.search(text) is None:
+        return found
+    out: list[str] = []
+    for m in (m for w in found for m in RUN.finditer(w)):
+        run = m[0]
+        out += [run[i : i + 2] for i in range(max(1, len(run) - 1))] if m[1] else [run]
+    return out
 
 
 def units(word: str) -> list[str]:
-    """The prefixes a word is read as, short to long."""
+    """What a word is read as, each the prior of the next: prefixes, short to long, and the whole."""
     marked = word + END
-    return [marked[:k] for k in range(min(SHORTEST, len(marked)), min(LONGEST, len(marked)) + 1)]
+    prefixes = [marked[:k] for k in range(min(SHORTEST, len(marked)), min(LONGEST, len(marked)) + 1)]
+    return prefixes if len(marked) <= LONGEST else [*prefixes, marked]
+
+
+def parent(unit: str) -> str:
+    """The unit before this one; of the shortest, a string that is no unit."""
+    return unit[: min(LONGEST, len(unit) - 1)]
 
 
 def fold(doc_id: Column) -> Column:
@@ -93,15 +115,15 @@ class Model:
         return got - self.drift
 
     def scores(self, text: str) -> np.ndarray:
-        words, known = WORD.findall(text.lower()), self._known
+        found, known = words(text), self._known
         if len(known) > 100_000:  # workers keep the model, and so these words
             known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for w in set(words).difference(known):
+        scores = list(map(known.get, found))
+        if None in scores:
+            for w in set(found).difference(known):
                 known[w] = self._score(w)
-            found = list(map(known.__getitem__, words))
-        return np.array(found, np.float64)
+            scores = list(map(known.__getitem__, found))
+        return np.array(scores, np.float64)
 
     def passages(self, scores: np.ndarray, below: float = 1.0) -> list[tuple[float, int, int, float]]:
         """Significant segments ``(score, first word, end, rate)``: those expected less than ``below`` times in clean text of this length."""
@@ -119,18 +141,19 @@ class Model:
 
 
 def _weights(counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float, least: float = 0.05) -> dict[str, float]:
-    """Log-odds of units against the base odds; a unit's prior of weight ``prior`` is its own prefix's odds."""
+    """Log-odds of units against the base odds; a unit's prior of weight ``prior`` is its parent's odds."""
     base = toxic / max(1, toxic + clean)
     base = min(max(base, 1e-6), 1 - 1e-6)
     share: dict[str, float] = {}
     out: dict[str, float] = {}
     for u in sorted(counts, key=len):
-        q = share.get(u[:-1], base)
+        q = share.get(parent(u), base)
         t, c = counts[u]
+        if len(u) > LONGEST and counts.get(parent(u)) == (t, c):
+            continue  # the only word with these letters: its prefix has counted the same documents
         share[u] = q = (t + prior * q) / (t + c + prior)
         value = math.log(q / (1 - q)) - math.log(base / (1 - base))
-        parent = out.get(u[:-1])
-        if abs(value) >= least or parent is not None:
+        if abs(value) >= least or parent(u) in out:
             out[u] = value
     return out
 
@@ -160,7 +183,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled:
         for b in batches:
             for text, toxic, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own: set[str] = set()
-                for w in set(WORD.findall(text.lower())):
+                for w in set(words(text)):
                     got = known.get(w)
                     if got is None:
                         if len(known) > 100_000:

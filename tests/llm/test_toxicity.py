@@ -58,3 +58,29 @@ def test_edges(spark, make, edges):
     assert all(rows[i].predicted == (i % 3 == 0) for i in range(300)) and not any(rows[i].predicted for i in (300, 301, 302))
     assert rows[0].passages[0].start >= 55
     assert {r.doc_id for r in toxicity.keep_clean(spark, make(texts), model).collect()} == {i for i in rows if not rows[i].predicted}
+
+
+def test_words_and_units():
+    assert toxicity.units("ab") == ["ab$"] and toxicity.units("words") == ["wor", "word", "words", "words$"]
+    assert toxicity.units("longest") == ["lon", "long", "longe", "longes", "longest$"]
+    for w in ("a", "ab", "words", "letter", "longest", "understanding"):
+        chain = toxicity.units(w)
+        assert all(toxicity.parent(b) == a for a, b in zip(chain, chain[1:]))
+    assert toxicity.words("Big x9y D\u00e9j\u00e0") == ["big", "x", "y", "d\u00e9j\u00e0"]
+    assert toxicity.words("ab\u65e5\u672c\u8a9ecd \u5b57") == ["ab", "\u65e5\u672c", "\u672c\u8a9e", "cd", "\u5b57"]
+
+
+def test_ends_of_words_and_scripts_without_spaces(spark, make):
+    """Words alike in six letters tell texts apart, and so do two characters inside a run without spaces."""
+    r = random.Random(6)
+    for good, bad, gap in (("computerize", "computational", " "), ("\u65e5\u672c\u4eba", "\u99ac\u9e7f\u8005", "")):
+        common = ["good", "day", "the", "sun"] if gap else list("\u5c71\u5ddd\u7530\u6728\u82b1")
+        texts = []
+        for i in range(300):
+            parts = [r.choice(common) for _ in range(50)]
+            for _ in range(4):
+                parts.insert(r.randrange(len(parts)), bad if i % 3 == 0 else good)
+            texts.append(gap.join(parts))
+        labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(250)], "doc_id long, quality int, toxic int")
+        rows = toxicity.score(spark, make(texts), toxicity.train(spark, make(texts), labels)).collect()
+        assert np.mean([x.predicted == (x.doc_id % 3 == 0) for x in rows]) > 0.98
