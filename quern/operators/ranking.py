@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.stored import store
+
 B, K1 = 0.5, 1.2
 
+#: Query terms that may go to all tasks: about 20 MB.
+FEW = 200_000
+
 
 def doc_weight(freq: Column, norm_len: Column) -> Column:
     return freq / (freq + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * norm_len))
@@ -45,30 +50,49 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _scores(terms: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score, hits)``; document lengths join after the lists are narrowed to the query terms."""
-    met = terms.join(postings, "term_id").join(docs.select("doc_id", "norm_len"), "doc_id")
+def _parts(terms: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """``terms`` with ``doc_id`` and ``part``, what the term adds to the document's score.
+
+    A word that many queries ask for has a row for each of them and each document of its list.  So
+    where the terms are few, the lists go to the documents first, and the terms meet them there:
+    what is summed by query and document is not shuffled any more.  ``terms`` should be a stored table.
+    """
     part = F.col("qw") * doc_weight(F.col("freq"), F.col("norm_len"))
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits"))
+    lengths = docs.select("doc_id", "norm_len")
+    if terms.limit(FEW + 1).count() > FEW:
+        met = terms.join(postings, "term_id").join(lengths, "doc_id")
+    else:
+        lists = postings.join(F.broadcast(terms.select("term_id").distinct()), "term_id", "left_semi")
+        met = lists.repartition("doc_id").join(lengths.hint("merge"), "doc_id").join(F.broadcast(terms), "term_id")
+    return met.select(*terms.columns, "doc_id", part.alias("part"))
+
+
+def _stored(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    return store(postings.sparkSession, terms, "query_terms", free=True)
+
+
+def _scores(terms: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, score, hits)``"""
+    return _parts(terms, postings, docs).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def ranked_or(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
     """Disjunctive top-k: documents with any term."""
-    return top(_scores(_terms_of(queries, postings, n_docs), postings, docs), k)
+    return top(_scores(_stored(postings, _terms_of(queries, postings, n_docs)), postings, docs), k)
 
 
 def ranked_and(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
     """Conjunctive top-k: documents with all terms; an unknown term leaves none."""
     asked = query_freqs(queries).groupBy("query_id").agg(F.count("*").alias("asked"))
-    scored = _scores(_terms_of(queries, postings, n_docs), postings, docs).join(asked, "query_id").where("hits = asked")
+    scored = _scores(_stored(postings, _terms_of(queries, postings, n_docs)), postings, docs).join(asked, "query_id").where("hits = asked")
     return top(scored, k)
 
 
 def _bounded(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
-    """Query terms with ``ub``, the most that a term can add to a score."""
+    """Query terms with ``ub``, the most that a term can add to a score; stored, as several parts of a query read them."""
     terms = _terms_of(queries, postings, n_docs)
     most = term_stats(postings.join(terms.select("term_id").distinct(), "term_id", "left_semi"), docs).select("term_id", "max_weight")
-    return terms.join(most, "term_id").withColumn("ub", F.col("qw") * F.col("max_weight"))
+    return _stored(postings, terms.join(most, "term_id").withColumn("ub", F.col("qw") * F.col("max_weight")))
 
 
 def maxscore(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: int, k: int = 10, slack: float = 1e-5) -> DataFrame:
@@ -76,7 +100,8 @@ def maxscore(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: i
 
     A query's threshold is the k-th best score from its strongest term alone.
     Terms whose bounds sum to less, weakest first, cannot lift a
-    document over it: candidates come from the other lists only.
+    document over it: candidates come from the other lists only.  A candidate is told where
+    its parts are summed, so it is not shuffled to meet its terms.
     """
     terms = _bounded(postings, docs, queries, n_docs)
     strongest = terms.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ub"), "term_id"))).where("r = 1")
@@ -84,10 +109,9 @@ def maxscore(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: i
     threshold = alone.select("query_id", F.col("score").alias("theta"))
     rising = Window.partitionBy("query_id").orderBy("ub", "term_id").rowsBetween(Window.unboundedPreceding, 0)
     essential = terms.withColumn("reach", F.sum("ub").over(rising)).join(threshold, "query_id", "left").where(F.col("theta").isNull() | (F.col("reach") >= F.col("theta") - slack))
-    candidates = essential.select("query_id", "term_id").join(postings, "term_id").select("query_id", "doc_id").distinct()
-    met = candidates.join(terms, "query_id").join(postings, ["term_id", "doc_id"]).join(docs.select("doc_id", "norm_len"), "doc_id")
-    part = F.col("qw") * doc_weight(F.col("freq"), F.col("norm_len"))
-    return top(met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    marked = _stored(postings, terms.join(essential.select("query_id", "term_id", F.lit(True).alias("essential")), ["query_id", "term_id"], "left").select("query_id", "term_id", "qw", "essential"))
+    scored = _parts(marked, postings, docs).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), F.max("essential").alias("essential"))
+    return top(scored.where("essential").drop("essential"), k)
 
 
 def wand(postings: DataFrame, docs: DataFrame, queries: DataFrame, n_docs: int, k: int = 10, slack: float = 1e-5) -> DataFrame:

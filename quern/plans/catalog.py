@@ -92,8 +92,8 @@ for _name, _op in (("ranked_or_text", ranking.ranked_or), ("wand_text", ranking.
 
     @query(_name, ranked_sql(TEXT, TEXT_DOCS, Q_TEXT, N_TEXTS))
     def _(spark, sf, op=_op):
-        p, terms = src.text_postings(spark, sf)
-        return op(p, src.text_docs(spark, sf, p), src.text_queries(spark, sf, terms), src.table(spark, sf, "documents").count())
+        p, docs = src.text_counts(spark, sf)
+        return op(p, docs, src.word_queries(spark, sf), src.table(spark, sf, "documents").count())
 
 
 @query("query_freqs", f"WITH {Q_CUST} SELECT query_id, term_id, count(*) AS qtf FROM q GROUP BY 1, 2")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +25,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/quern/{tag}-{uuid.uuid4().hex}"
 
 
-def store(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """``df``, written once and read back: what several parts of a query read is worked out once, and lost executors cost none of it."""
+def store(spark: SparkSession, df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """``df``, written once and read back: what several parts of a query read is worked out once, and lost executors cost none of it.
+
+    ``free`` lets Spark's cleaner drop the finished job's shuffle files at once, worth the pause where they are large.
+    """
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    for _ in range(2 * free):  # what one collection frees, the next may follow up
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+    return spark.read.schema(schema).parquet(path)
