@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.codecs import CODECS, MIXED
+from quern.functions.ship import ship
+
 
 def values_statistics(gapped: DataFrame, size: int = 256) -> DataFrame:
     """Of each gap block: ``(term_id, block_no, n, entropy, sum_of_logs, nonzeros, max_b)``."""
@@ -31,6 +38,42 @@ def size_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def size_stats_of_all(laid: DataFrame, dictionaries: dict | None = None) -> DataFrame:
+    """The rows of ``size_stats`` of ``laid`` under every code and the dictionary codes given (name: a broadcast of {"docs", "freqs"}).
+
+    A block's size depends on its values alone, so equal blocks are encoded once; each is
+    encoded by all codes in one pass that returns sums.  ``laid`` should be a stored table.
+    """
+    from .space import vbyte
+
+    ship(laid.sparkSession)
+    coded = {} if dictionaries is None else dictionaries
+    single = [c for c in CODECS if c != "mixed"]
+
+    def sizes(kind: str, values: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for b in batches:
+                for v, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    block = np.array(v, np.int64)
+                    known = int(block.sum()) if kind == "docs" else None
+                    size = {c: len(CODECS[c].encode(block, known)) for c in single}
+                    size["mixed"] = 1 + min(size[c] for c in MIXED)  # a byte that tells the code
+                    size |= {c: len(d.value[kind].encode(block)) for c, d in coded.items()}
+                    for c, n in size.items():
+                        total[c] += n * times
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["codec", "bytes"])
+
+        # Blocks differ in cost, not in number: small parts for all workers.
+        distinct = laid.groupBy(values).agg(F.count("*").alias("times")).repartition(8 * laid.sparkSession.sparkContext.defaultParallelism)
+        return distinct.mapInArrow(run, "codec string, bytes long").groupBy("codec").agg(F.sum("bytes").alias(f"{kind}_bytes"))
+
+    lists = laid.groupBy("term_id").agg(F.sum("n").alias("n"), F.count("*").alias("b"))
+    heads = lists.agg(F.sum("n").alias("postings"), F.sum(vbyte(F.col("n")) + 8 * F.col("b") - 4).alias("head"))
+    both = sizes("docs", "gaps").join(sizes("freqs", "fbias"), "codec").crossJoin(heads).withColumn("docs_bytes", F.col("docs_bytes") + F.col("head"))
+    return both.select("codec", "postings", "docs_bytes", "freqs_bytes", *((8 * F.col(f"{k}s_bytes") / F.col("postings")).alias(f"bits_per_{k}") for k in ("doc", "freq")))
+
+
 def throughput(index: DataFrame, decoded: DataFrame) -> DataFrame:
     """``(lists, postings, bytes, bits_per_int, seconds, ns_per_int, ints_per_second)``: one run of ``decoded`` by the clock.
 

@@ -401,14 +401,9 @@ def _(spark, sf):
 
 @query("size_stats_all")
 def _(spark, sf):
-    laid = layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey"))
-    out = [stats.size_stats(layout.encode(laid, c)) for c in CODECS]
-    for name, build in (("single_optimal", mining.build_single), ("multi_optimal", mining.build_multi)):
-        out.append(stats.size_stats(layout.encode(laid, name, spark.sparkContext.broadcast(build(spark, laid)))))
-    both = out[0]
-    for df in out[1:]:
-        both = both.unionByName(df)
-    return both
+    laid = stored.store(spark, layout.blocks(src.lineitem_postings(spark, sf, "l_suppkey")), "laid", free=True)
+    built = {name: spark.sparkContext.broadcast(build(spark, laid)) for name, build in (("single_optimal", mining.build_single), ("multi_optimal", mining.build_multi))}
+    return stats.size_stats_of_all(laid, built)
 
 
 @query("decode_throughput")
